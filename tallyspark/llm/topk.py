@@ -1,12 +1,12 @@
 """Exact top-k inner products by no-random-access aggregation (NRA).
 
-Candidates are dealt into cells. In a cell every dimension is a list sorted by the component; a
-query reads a list from its top where its own component is positive, else from its bottom. After
-each read, what a candidate has shown plus the best (worst) that its unread lists can still hold
-bounds its score from above (below). Reading stops as soon as no candidate outside the k with the
-highest lower bounds can reach the k-th of them; scores that are still open are then resolved.
-The cells' answers are merged per query. Queries and candidates meet in a grid of cells of
-bounded size, so neither side is broadcast or gathered.
+Candidates are dealt into cells. In a cell every dimension is a list sorted by the component,
+read one entry after the other from either end. What a candidate has shown so far, plus the most
+(least) that the unread middle of each list can hold for a query, bounds its score from above
+(below). Reading stops when few candidates outside the k with the highest lower bounds can still
+reach the k-th of them; only those are resolved. All queries of a cell read in step, so the bounds
+are matrix products. The cells' answers are merged per query. Queries and candidates meet in a
+grid of cells of bounded size, so neither side is broadcast or gathered.
 """
 
 from __future__ import annotations
@@ -16,8 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Shares of the lists that are read between two looks at the bounds.
-STEPS = (0.25, 0.4, 0.55, 0.7, 0.85, 1.0)
+#: Shares of a list that are read from either end when the bounds are looked at.
+STEPS = (0.36, 0.45)
+#: Open scores per query below which reading further costs more than resolving.
+FEW = 200
+_CHUNK = 256
 
 
 class SortedLists:
@@ -26,32 +29,37 @@ class SortedLists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.x = ids, vectors
         order = np.argsort(vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(vectors, order, axis=0)
-        self.rank = np.empty(vectors.shape, np.int32)
-        np.put_along_axis(self.rank, order, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
-
-    def top(self, query_id: int, q: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
-        """(vec_id, score) of the k best of this cell that reach ``floor``, ties to the smaller id."""
-        n = len(self.ids)
-        alive = np.flatnonzero(self.ids != query_id)
-        up = q >= 0
-        far = np.where(up, self.sorted[0], self.sorted[-1]) * q  # the least that a list can still hold
+        n, looks = len(ids), []
         for share in STEPS:
-            depth = int(np.ceil(share * n))
-            if depth >= n or len(alive) <= 8 * k:
+            low, high = int(share * n), n - int(share * n)
+            if high - low < n:
+                unread = np.zeros(vectors.shape)
+                np.put_along_axis(unread, order[low:high], 1.0, axis=0)
+                edges = np.take_along_axis(vectors, order[[max(0, low - 1), min(n - 1, high)]], axis=0)
+                looks.append((unread, np.where(unread > 0, 0.0, vectors), edges))
+        self.looks = looks
+
+    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query_id, vec_id, score) of the k best of this cell for each query, ties to the smaller id."""
+        own = self.ids[None, :] == query_ids[:, None]
+        open_ = ~own
+        for unread, shown, (low, high) in self.looks:
+            seen = queries @ shown.T
+            worst, best = np.minimum(queries * low, queries * high), np.maximum(queries * low, queries * high)
+            lower = seen + worst @ unread.T
+            lower[own] = -np.inf
+            if lower.shape[1] > k:
+                kth = np.partition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k]
+                open_ = (seen + best @ unread.T >= kth[:, None]) & ~own
+            if open_.sum() <= FEW * len(queries):
                 break
-            edge = np.where(up, self.sorted[n - depth], self.sorted[depth - 1]) * q  # the last that was read
-            rank = self.rank[alive]
-            read = np.where(up, rank >= n - depth, rank < depth)
-            shown = self.x[alive] * q
-            upper = np.where(read, shown, edge).sum(axis=1)
-            lower = np.where(read, shown, far).sum(axis=1)
-            kth = max(floor, np.partition(lower, len(lower) - k)[len(lower) - k]) if len(lower) > k else floor
-            alive = alive[upper >= kth]
-        scores = (self.x[alive] @ q).astype(np.int64)
-        ids = self.ids[alive]
-        best = np.lexsort((ids, -scores))[:k]
-        return [(int(ids[i]), int(scores[i])) for i in best if scores[i] >= floor]
+        q, c = np.nonzero(open_)
+        scores = np.concatenate([np.einsum("ij,ij->i", queries[q[i : i + 65536]], self.x[c[i : i + 65536]]) for i in range(0, len(q), 65536)] or [np.zeros(0)])
+        order = np.lexsort((self.ids[c], -scores, q))
+        q, c, scores = q[order], c[order], scores[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        kept = rank < k
+        return query_ids[q[kept]], self.ids[c[kept]], scores[kept].astype(np.int64)
 
 
 def usable(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -75,12 +83,12 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, cell_rows: int = 8192,
     right = asked.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))))
 
     def answer(key: tuple, candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
+        found = [(np.zeros(0, np.int64),) * 3]
         if len(candidates) and len(queries):
             lists = SortedLists(candidates["vec_id"].to_numpy(), np.stack(candidates["v"].to_numpy()))
-            for query_id, q in zip(queries["vec_id"], queries["v"]):
-                found += [(query_id, vec_id, score) for vec_id, score in lists.top(query_id, np.asarray(q), k, -np.inf)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+            ids, vectors = queries["vec_id"].to_numpy(), np.stack(queries["v"].to_numpy())
+            found += [lists.top(ids[i : i + _CHUNK], vectors[i : i + _CHUNK], k) for i in range(0, len(ids), _CHUNK)]
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found)))))
 
     keys = ["row", "col", "dim"]
     cells = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(answer, "query_id long, vec_id long, score long")
