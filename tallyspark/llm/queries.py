@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, mixing, pii, quality, simhash, suffixes, topk, toxicity
+from . import decontaminate, language_model, lines, mixing, pii, quality, simhash, suffixes, topk, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(read_table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed_repeats(read_table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_personal_data, op3_simhash_near_duplicates, op5_suffix_array_dedup, op6_exact_top_k, op7_line_dedup, op8_benchmark_decontamination, op9_toxic_spans, op10_source_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_personal_data, op3_simhash_near_duplicates, op4_language_model, op5_suffix_array_dedup, op6_exact_top_k, op7_line_dedup, op8_benchmark_decontamination, op9_toxic_spans, op10_source_mixing)}
 
 OP6_SQL = """
 WITH v AS (
