@@ -2,9 +2,10 @@
 
 A repeat is a string of ``LENGTH`` bytes that also starts in a document with a smaller doc_id.
 
-1. Every string of that length has an anchor: its ``K`` bytes with the smallest hash. Consecutive
-   strings with one anchor are a run, so a document is a few runs, and equal strings lie in runs
-   with equal anchors. Anchors are dealt by hash; those that two different texts have are shared.
+1. Every string of that length has an anchor of ``K`` bytes: its piece with the smallest hash, by its place
+   modulo the anchor's places, says where. Consecutive strings with one anchor are a run, so a document
+   is a few runs, and equal strings lie in runs with equal anchors. Anchors are dealt by hash;
+   those that two different texts have are shared. An anchor is long, so few are shared by chance.
 2. Only runs with a shared anchor go on, each with its bytes, dealt by anchor. What one task has seen
    twice is settled there: equal runs are sent once, so a passage that a third of all documents
    share is one row a task. Anchors that stand in more than a 100,000th of all runs are known to
@@ -28,14 +29,19 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-LENGTH, K = 50, 20
+LENGTH = 50
+#: Bytes of an anchor, by the places it can have in a string, and of the pieces whose hashes choose it.
+K, T = 32, 13
 W = LENGTH - K + 1
 NO_ID = (1 << 63) - 1
 #: Anchors or bytes of runs that a task gathers before it sends them on.
-_FLUSH = 4_000_000
-_BLOCK_BYTES = 8_000_000
-_ROW = pa.schema([("bucket", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
-_ROW_DDL = "bucket long, h1 long, h2 long, kind int, data binary"
+_FLUSH = 1_500_000
+_CHUNK = 1 << 20
+_BLOCK_BYTES = 16_000_000
+_ROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
+_ROW_DDL = "bucket long, kind int, data binary"
+_TEXT = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("data", pa.binary())])
+_TEXT_DDL = "h1 long, h2 long, data binary"
 _PACK, _SHARED, _HOT, _GONE = 0, 1, 2, 3
 
 
@@ -45,36 +51,48 @@ def _loads(x: np.ndarray) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts laid end to end -> start, end (of the run's strings' first bytes), text number, anchor hash."""
+    """Texts laid end to end -> start, end (of the run's strings' first bytes), text number, anchor hash.
+
+    The bytes are taken by the megabyte, so that the arrays in between stay small; a run may be cut there.
+    """
+    parts = [_runs(data[a : a + _CHUNK + LENGTH - 1], a, offsets) for a in range(0, max(1, len(data) - LENGTH + 1), _CHUNK)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _runs(data: np.ndarray, at: int, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     n = len(data) - LENGTH + 1
     if n < 1:
         return none
     v = _loads(data).astype(np.uint64)
-    m = len(data) - K + 1
+    m = len(data) - T + 1
     with np.errstate(over="ignore"):
         h = v[:m] * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-        h += v[8 : 8 + m]
+        h += v[T - 8 : T - 8 + m]
         h *= np.uint64(0xC2B2AE3D27D4EB4F)
-        h ^= h >> np.uint64(31)
-        h += v[12 : 12 + m]
-        h *= np.uint64(0x165667B19E3779F9)
-        h ^= h >> np.uint64(30)
-    key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(m, dtype=np.uint64)
-    step, best = 1, key
-    while step * 2 <= W:
+    step, best, span = 1, (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(m, dtype=np.uint64), LENGTH - T + 1
+    while step * 2 <= span:
         best = np.minimum(best[:-step], best[step:])
         step *= 2
-    best = np.minimum(best[:n], best[W - step : W - step + n])
-    at = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    texts = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
-    sound = np.arange(n) + LENGTH <= offsets[1:][texts]
+    best = np.minimum(best[:n], best[span - step : span - step + n]).astype(np.uint32)
+    best -= np.arange(n, dtype=np.uint32)
+    best %= np.uint32(W)
+    best += np.arange(n, dtype=np.uint32)
+    low, high = np.searchsorted(offsets, [at, at + n], side="right")
+    edges = np.concatenate([[at], offsets[low:high], [at + n]]).clip(at, at + n) - at
+    texts = np.repeat(np.arange(low - 1, low + len(edges) - 2), np.diff(edges))
+    sound = at + np.arange(n) + LENGTH <= offsets[1:][texts]
     new = sound.copy()
-    new[1:] &= ~sound[:-1] | (at[1:] != at[:-1]) | (texts[1:] != texts[:-1])
+    new[1:] &= ~sound[:-1] | (best[1:] != best[:-1]) | (texts[1:] != texts[:-1])
     start = np.flatnonzero(new)
     stop = np.flatnonzero(sound & np.append(new[1:] | ~sound[1:], True)) + 1
-    return start, stop, texts[start], h[at[start]]
+    anchor, h = best[start], np.zeros(len(start), np.uint64)
+    with np.errstate(over="ignore"):
+        for skip in range(0, K, 8):
+            h = (h ^ v[anchor + skip]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return at + start, at + stop, texts[start], h
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -96,20 +114,47 @@ def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 2000]), _ROW.types)], schema=_ROW)
 
 
-def _home(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (ids[:, 0].astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
+def _by_home(ids: np.ndarray, owner: np.ndarray, values: np.ndarray, kind: int, buckets: int) -> list[tuple]:
+    """Rows for the homes of the texts, buckets by id: numbers of values, ids and values of all texts there together."""
+    if not len(owner):
+        return []
+    home = (ids[:, 0].astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((owner, home[owner]))
+    owner, values = owner[order], values[order]
+    heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    sizes, texts = np.diff(np.append(heads, len(owner))), owner[heads]
+    cuts = np.flatnonzero(np.append(True, np.diff(home[texts]) != 0))
+    rows = []
+    for a, b in zip(cuts, np.append(cuts[1:], len(texts))):
+        end = heads[b] if b < len(heads) else len(owner)
+        packed = struct.pack("<I", b - a) + sizes[a:b].astype(np.uint32).tobytes() + ids[texts[a:b]].tobytes() + values[heads[a] : end].tobytes()
+        rows.append((int(home[texts[a]]), kind, packed))
+    return rows
+
 
+def _at_home(item: int):
+    """The packs of a home, values of ``item`` bytes -> (h1, h2, data), a row for each text."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found: dict[tuple[int, int], list[bytes]] = {}
+        for data in table.column("data").to_pylist():
+            (n,) = struct.unpack_from("<I", data)
+            at = 4 + 20 * n
+            for size, pair in zip(np.frombuffer(data, np.uint32, n, 4).tolist(), np.frombuffer(data, np.int64, 2 * n, 4 + 4 * n).reshape(n, 2).tolist()):
+                found.setdefault(tuple(pair), []).append(data[at : at + size * item])
+                at += size * item
+        columns = [[k[0] for k in found], [k[1] for k in found], [b"".join(x) for x in found.values()]]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _TEXT.types)], schema=_TEXT)
+
+    return run
 
-def _by_text(ids: np.ndarray, owner: np.ndarray, values: np.ndarray, kind: int, buckets: int) -> list[tuple]:
-    """Rows (home bucket, h1, h2, kind, bytes): the values of each text together."""
-    order = np.argsort(owner, kind="stable")
-    owner, values = owner[order], values[order]
-    cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, int)
-    homes = _home(ids, buckets)
-    return [(int(homes[o]), int(ids[o, 0]), int(ids[o, 1]), kind, values[a:b].tobytes()) for o, a, b in zip(owner[cuts], cuts, np.append(cuts[1:], len(owner)))]
 
+def _width(total: int) -> int:
+    """Bytes of a hash by which anchors are told apart: a chance hit is one in 500 at most, and costs time only."""
+    return min(8, -(-(total.bit_length() + 6) // 8))
 
-def _anchors(buckets: int):
+
+def _anchors(buckets: int, width: int):
     """Texts -> for each bucket the anchors seen here, each once, with one of its texts; and what is shared already."""
 
     def flush(ids: list[np.ndarray], owners: list[np.ndarray], hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -118,6 +163,7 @@ def _anchors(buckets: int):
         ids_, owner, h = np.concatenate(ids), np.concatenate(owners), np.concatenate(hashes)
         # equal texts are one: number the distinct ids
         whole, owner = _distinct_ids(ids_, owner)
+        h &= np.uint64((1 << 8 * width) - 1)
         order = np.lexsort((owner, h))
         h, owner = h[order], owner[order]
         keep = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))
@@ -125,16 +171,19 @@ def _anchors(buckets: int):
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         count = np.diff(np.append(first, len(h)))
         both = np.repeat(count > 1, count)
-        rows = _by_text(whole, owner[both], h[both], _SHARED, buckets)
+        rows = _by_home(whole, owner[both], h[both], _SHARED, buckets)
         h, owner = h[first], owner[first]
-        bucket = (h >> np.uint64(20)) % np.uint64(buckets)
+        bucket = _dealt(h, buckets)
         order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(bucket[order].astype(np.int64)) != 0))
+        cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
         for a, b in zip(cuts, np.append(cuts[1:], len(order))):
             part = order[a:b]
             used, local = np.unique(owner[part], return_inverse=True)
-            packed = struct.pack("<II", len(part), len(used)) + h[part].tobytes() + count[part].astype(np.uint32).tobytes() + local.astype(np.uint32).tobytes() + whole[used].tobytes()
-            rows.append((int(bucket[part[0]]), None, None, _PACK, packed))
+            more = np.flatnonzero(count[part] > 1)
+            short = np.uint16 if len(used) < 1 << 16 else np.uint32
+            packed = struct.pack("<III", len(part), len(used), len(more)) + h[part].view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + local.astype(short).tobytes() + whole[used].tobytes()
+            packed += more.astype(np.uint32).tobytes() + count[part][more].astype(np.uint32).tobytes()
+            rows.append((int(bucket[part[0]]), _PACK, packed))
         yield from _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,52 +204,62 @@ def _anchors(buckets: int):
     return run
 
 
+def _dealt(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(3)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _distinct_ids(ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     whole, number = np.unique(ids, axis=0, return_inverse=True)
     return whole, number.reshape(-1)[owner]
 
 
-def _shared(buckets: int, hot: int):
+def _shared(buckets: int, width: int, hot: int):
     """The packs of a bucket -> which anchors each of their texts shares; what is known already passes."""
 
     def run(table: pa.Table) -> pa.Table:
         rows, h, count, owner, ids, base = [], [], [], [], [], 0
-        for kind, h1, h2, data in zip(*(table.column(c).to_pylist() for c in ("kind", "h1", "h2", "data"))):
+        for bucket, kind, data in zip(*(table.column(c).to_pylist() for c in ("bucket", "kind", "data"))):
             if kind != _PACK:
-                rows.append((0, h1, h2, kind, data))
+                rows.append((bucket, kind, data))
                 continue
-            n, m = struct.unpack_from("<II", data)
-            h.append(np.frombuffer(data, np.uint64, n, 8))
-            count.append(np.frombuffer(data, np.uint32, n, 8 + 8 * n))
-            owner.append(np.frombuffer(data, np.uint32, n, 8 + 12 * n).astype(np.int64) + base)
-            ids.append(np.frombuffer(data, np.int64, 2 * m, 8 + 16 * n).reshape(m, 2))
+            n, m, k = struct.unpack_from("<III", data)
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :width] = np.frombuffer(data, np.uint8, n * width, 12).reshape(n, width)
+            h.append(wide.view(np.uint64)[:, 0])
+            at, short = 12 + n * width, np.dtype(np.uint16 if m < 1 << 16 else np.uint32)
+            owner.append(np.frombuffer(data, short, n, at).astype(np.int64) + base)
+            at += n * short.itemsize
+            ids.append(np.frombuffer(data, np.int64, 2 * m, at).reshape(m, 2))
+            times = np.ones(n, np.int64)
+            times[np.frombuffer(data, np.uint32, k, at + 16 * m)] = np.frombuffer(data, np.uint32, k, at + 16 * m + 4 * k)
+            count.append(times)
             base += m
         if h:
             h, count = np.concatenate(h), np.concatenate(count)
             whole, owner = _distinct_ids(np.concatenate(ids), np.concatenate(owner))
             order = np.lexsort((owner, h))
-            h, count, owner = h[order], count[order].astype(np.int64), owner[order]
+            h, count, owner = h[order], count[order], owner[order]
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             size = np.diff(np.append(first, len(h)))
             varied = np.maximum.reduceat(owner, first) > np.minimum.reduceat(owner, first)
             both = np.repeat(varied, size)
-            rows += _by_text(whole, owner[both], h[both], _SHARED, 1)
+            rows += _by_home(whole, owner[both], h[both], _SHARED, buckets)
             common = np.add.reduceat(count, first) > hot
             if common.any():
-                rows.append((0, None, None, _HOT, h[first[common]].tobytes()))
+                rows.append((0, _HOT, h[first[common]].tobytes()))
         return pa.Table.from_batches(list(_rows(rows)), _ROW)
 
     return run
 
 
-def _pieces(buckets: int, hot):
+def _pieces(buckets: int, width: int, hot):
     """Texts with their shared anchors -> for each bucket the distinct runs, and what is removed already."""
 
     def flush(ids, docs, seen, gone) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         if gone:
             table = np.array(gone, np.int64)
-            rows = _by_text(ids, table[:, 0], table[:, 1:].astype(np.int32), _GONE, buckets)
+            rows = _by_home(ids, table[:, 0], table[:, 1:].astype(np.int32), _GONE, buckets)
         packs: dict[int, list] = {}
         for piece, (bucket, _, found) in seen.items():
             packs.setdefault(bucket, []).append((piece, found))
@@ -210,7 +269,7 @@ def _pieces(buckets: int, hot):
             places = np.array([(i, o, s) for i, (_, spots) in enumerate(found) for o, s in spots], np.uint32)
             used, places[:, 1] = np.unique(places[:, 1], return_inverse=True)
             packed = struct.pack("<III", len(found), len(used), len(places)) + sizes.tobytes() + places.tobytes() + ids[used].tobytes() + docs[used].tobytes() + b"".join(p for p, _ in found)
-            rows.append((bucket, None, None, _PACK, press.compress(packed)))
+            rows.append((bucket, _PACK, press.compress(packed)))
         yield from _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +278,9 @@ def _pieces(buckets: int, hot):
         for batch in batches:
             data, offsets = _columns(batch)
             start, stop, owner, h = runs(data, offsets)
+            h &= np.uint64((1 << 8 * width) - 1)
             doc = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
-            lists = [np.frombuffer(b"".join(x), np.uint64) for x in batch.column("shared").to_pylist()]
+            lists = [np.frombuffer(x, np.uint64) for x in batch.column("shared").to_pylist()]
             with np.errstate(over="ignore"):
                 mine = np.repeat(np.arange(len(lists), dtype=np.uint64), [len(x) for x in lists]) * np.uint64(0x9E3779B97F4A7C15) ^ np.concatenate(lists)
                 kept = np.isin(owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ h, mine)
@@ -237,7 +297,7 @@ def _pieces(buckets: int, hot):
                         own ^= own >> np.uint64(29)
                 owner = np.concatenate([owner[~alone], np.repeat(owner[alone], long)])
                 start, stop, h = np.concatenate([start[~alone], each]), np.concatenate([stop[~alone], each + 1]), np.concatenate([h[~alone], own])
-            raw, bucket = data.tobytes(), ((h >> np.uint64(20)) % np.uint64(buckets)).tolist()
+            raw, bucket = data.tobytes(), _dealt(h, buckets).tolist()
             inside = (start - offsets[owner]).tolist()
             ids.append(_ids(batch))
             docs.append(doc)
@@ -256,7 +316,7 @@ def _pieces(buckets: int, hot):
                     gone.extend((x, y, y + len(piece)) for x, y in old[2])
                     seen[piece] = (where, number, [(o, at)])
             texts += batch.num_rows
-            if size > 8 * _FLUSH or len(gone) > _FLUSH:
+            if size > 8 * _FLUSH or len(gone) > _FLUSH // 4:
                 yield from flush(np.concatenate(ids), np.concatenate(docs), seen, gone)
                 ids, docs, seen, gone, texts, size = [], [], {}, [], 0, 0
         if ids:
@@ -380,49 +440,53 @@ def first_docs(texts: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tu
     return value[spots], np.concatenate([[0], np.cumsum(counts)])
 
 
-def _removed(table: pa.Table) -> pa.Table:
+def _removed(buckets: int):
     """The packs of a bucket -> (start, end) of the bytes that each text loses; what is known already passes."""
-    rows, packs, base = [], [], 0
-    texts: dict[bytes, int] = {}
-    ids, docs, places, number = [], [], [], []
-    for kind, h1, h2, data in zip(*(table.column(c).to_pylist() for c in ("kind", "h1", "h2", "data"))):
-        if kind != _PACK:
-            rows.append((0, h1, h2, kind, data))
-            continue
-        packs.append(data)
-    unpress = zstandard.ZstdDecompressor()
-    for packed in packs:
-        data = unpress.decompress(packed)
-        n, m, k = struct.unpack_from("<III", data)
-        at = 12
-        sizes = np.frombuffer(data, np.uint32, n, at)
-        where = np.frombuffer(data, np.uint32, 3 * k, at + 4 * n).reshape(k, 3).astype(np.int64)
-        at += 4 * n + 12 * k
-        ids.append(np.frombuffer(data, np.int64, 2 * m, at).reshape(m, 2))
-        docs.append(np.frombuffer(data, np.int64, m, at + 16 * m))
-        at += 24 * m
-        ends = np.cumsum(sizes.astype(np.int64))
-        here = np.array([texts.setdefault(data[at + e - s : at + e], len(texts)) for e, s in zip(ends.tolist(), sizes.tolist())])
-        number.append(here[where[:, 0]])
-        places.append(where[:, 1:] + [base, 0])
-        base += m
-    if packs:
-        whole, doc, place, number = np.concatenate(ids), np.concatenate(docs), np.concatenate(places), np.concatenate(number)
-        own = np.full(len(texts), NO_ID)
-        np.minimum.at(own, number, doc[place[:, 0]])
-        least, starts = first_docs(list(texts), own)
-        counts = np.diff(starts)[number]
-        spot = np.repeat(np.arange(len(number)), counts)
-        inside = np.arange(len(spot)) - np.repeat(np.cumsum(counts) - counts, counts)
-        lost = least[starts[number][spot] + inside] < doc[place[spot, 0]]
-        spot, inside = spot[lost], inside[lost]
-        new = np.append(True, (spot[1:] != spot[:-1]) | (inside[1:] != inside[:-1] + 1)) if len(spot) else np.zeros(0, bool)
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(spot))[: len(head)] - 1
-        where = place[spot[head]]
-        spans = np.stack([where[:, 1] + inside[head], where[:, 1] + inside[tail] + LENGTH], axis=1).astype(np.int32)
-        rows += _by_text(whole, where[:, 0], spans, _GONE, 1)
-    return pa.Table.from_batches(list(_rows(rows)), _ROW)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, packs, base = [], [], 0
+        texts: dict[bytes, int] = {}
+        ids, docs, places, number = [], [], [], []
+        for bucket, kind, data in zip(*(table.column(c).to_pylist() for c in ("bucket", "kind", "data"))):
+            if kind != _PACK:
+                rows.append((bucket, kind, data))
+                continue
+            packs.append(data)
+        unpress = zstandard.ZstdDecompressor()
+        for packed in packs:
+            data = unpress.decompress(packed)
+            n, m, k = struct.unpack_from("<III", data)
+            at = 12
+            sizes = np.frombuffer(data, np.uint32, n, at)
+            where = np.frombuffer(data, np.uint32, 3 * k, at + 4 * n).reshape(k, 3).astype(np.int64)
+            at += 4 * n + 12 * k
+            ids.append(np.frombuffer(data, np.int64, 2 * m, at).reshape(m, 2))
+            docs.append(np.frombuffer(data, np.int64, m, at + 16 * m))
+            at += 24 * m
+            ends = np.cumsum(sizes.astype(np.int64))
+            here = np.array([texts.setdefault(data[at + e - s : at + e], len(texts)) for e, s in zip(ends.tolist(), sizes.tolist())])
+            number.append(here[where[:, 0]])
+            places.append(where[:, 1:] + [base, 0])
+            base += m
+        if packs:
+            whole, doc, place, number = np.concatenate(ids), np.concatenate(docs), np.concatenate(places), np.concatenate(number)
+            own = np.full(len(texts), NO_ID)
+            np.minimum.at(own, number, doc[place[:, 0]])
+            least, starts = first_docs(list(texts), own)
+            counts = np.diff(starts)[number]
+            spot = np.repeat(np.arange(len(number)), counts)
+            inside = np.arange(len(spot)) - np.repeat(np.cumsum(counts) - counts, counts)
+            lost = least[starts[number][spot] + inside] < doc[place[spot, 0]]
+            spot, inside = spot[lost], inside[lost]
+            new = np.append(True, (spot[1:] != spot[:-1]) | (inside[1:] != inside[:-1] + 1)) if len(spot) else np.zeros(0, bool)
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(spot))[: len(head)] - 1
+            where = place[spot[head]]
+            spans = np.stack([where[:, 1] + inside[head], where[:, 1] + inside[tail] + LENGTH], axis=1).astype(np.int32)
+            rows += _by_home(whole, where[:, 0], spans, _GONE, buckets)
+        return pa.Table.from_batches(list(_rows(rows)), _ROW)
+
+    return run
 
 
 _KEPT = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
@@ -440,7 +504,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans.append(0)
                 left.append(text)
                 continue
-            table = np.frombuffer(b"".join(lists), np.int32).reshape(-1, 2)
+            table = np.frombuffer(lists, np.int32).reshape(-1, 2)
             table = table[np.argsort(table[:, 0], kind="stable")]
             reach = np.maximum.accumulate(table[:, 1])
             new = np.append(True, table[1:, 0] > reach[:-1])
@@ -460,18 +524,19 @@ def _kept_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = marked.select("doc_id", "h1", "h2", F.octet_length("text").cast("long").alias("n_bytes"))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(2 * partitions, 1 + total // _BLOCK_BYTES)
+    buckets, width = max(partitions, 1 + total // _BLOCK_BYTES), _width(total)
     often = max(1000, total // (100_000 * W // 2))
     long = marked.filter(F.octet_length("text") >= LENGTH).select("h1", "h2", F.col("text").cast("binary").alias("text"))
-    seen = long.mapInArrow(_anchors(buckets), _ROW_DDL).groupBy("bucket").applyInArrow(_shared(buckets, often), _ROW_DDL)
-    told = checkpointed(seen.select("h1", "h2", "kind", "data"))
+    seen = long.mapInArrow(_anchors(buckets, width), _ROW_DDL).groupBy("bucket").applyInArrow(_shared(buckets, width, often), _ROW_DDL)
+    told = checkpointed(seen)
     common = [np.frombuffer(r[0], np.uint64) for r in told.filter(F.col("kind") == _HOT).select("data").collect()]  # 100,000 at most
     hot = spark.sparkContext.broadcast(np.unique(np.concatenate(common)) if common else np.zeros(0, np.uint64))
-    lists = told.filter(F.col("kind") == _SHARED).groupBy("h1", "h2").agg(F.collect_list("data").alias("shared"))
+    lists = told.filter(F.col("kind") == _SHARED).groupBy("bucket").applyInArrow(_at_home(8), _TEXT_DDL).withColumnRenamed("data", "shared")
+    # the same columns in both uses below, so that one shuffle of the texts serves both
     texts = marked.groupBy("h1", "h2").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc"), F.first("text").cast("binary").alias("text"))
-    pieces = texts.join(lists, ["h1", "h2"]).mapInArrow(_pieces(buckets, hot), _ROW_DDL)
-    gone = pieces.groupBy("bucket").applyInArrow(_removed, _ROW_DDL).groupBy("h1", "h2").agg(F.collect_list("data").alias("gone"))
-    cut = texts.join(gone, ["h1", "h2"], "left").select("h1", "h2", "text", "gone").mapInArrow(_cut, "h1 long, h2 long, n_removed long, n_spans long, kept binary")
+    pieces = texts.join(lists, ["h1", "h2"]).select("h1", "h2", "doc", "text", "shared").mapInArrow(_pieces(buckets, width, hot), _ROW_DDL)
+    gone = pieces.groupBy("bucket").applyInArrow(_removed(buckets), _ROW_DDL).groupBy("bucket").applyInArrow(_at_home(8), _TEXT_DDL).withColumnRenamed("data", "gone")
+    cut = texts.join(gone, ["h1", "h2"], "left").select("h1", "h2", "doc", "text", "gone").mapInArrow(_cut, "h1 long, h2 long, n_removed long, n_spans long, kept binary")
     return rows, cut
 
 

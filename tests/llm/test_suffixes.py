@@ -59,7 +59,7 @@ def test_removed(spark):
 def test_common_anchors(spark, monkeypatch):
     docs = some(3)
     plain = suffixes._shared
-    monkeypatch.setattr(suffixes, "_shared", lambda buckets, hot: plain(buckets, 3))
+    monkeypatch.setattr(suffixes, "_shared", lambda buckets, width, hot: plain(buckets, width, 3))
     got = suffixes.removed_repeats(frame(spark, docs).repartition(3)).collect()
     assert sorted((str(r[0]), *r[1:]) for r in got) == slow(docs)
 
