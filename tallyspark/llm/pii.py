@@ -159,7 +159,9 @@ def added(spans: DataFrame, floor: float = 0.0) -> DataFrame:
     yes, no = (sum(v[i] for k, v in counts.items() if k.startswith("kind=")) for i in (0, 1))
     if not counts:
         return spans.select("rid", "kind", "start", "end").limit(0)
-    weight = {k: math.log(((a + 0.5) / (yes + 1)) / ((b + 0.5) / (no + 1))) for k, (a, b) in counts.items()}
+    # one pseudo-count, split as the classes are: a rare value says little about either
+    share = yes / (yes + no)
+    weight = {k: math.log((a + share) / (b + 1 - share) * (no + 1 - share) / (yes + share)) for k, (a, b) in counts.items()}
     table = F.create_map(*chain.from_iterable((F.lit(k), F.lit(w)) for k, w in sorted(weight.items())))
     final = F.lit(math.log((yes + 1) / (no + 1)))
     for k in shape:
