@@ -65,16 +65,16 @@ def items_of(text: str | None) -> list[tuple[str, float | None, float | None, fl
     found, waiting = [], None
     for line in (text or "").split("\n"):
         line = line.strip()
-        if m := re.fullmatch(rf"(.*?[^\W\d].*?)\s+([0-9]{{1,3}}(?:,[0-9]{{3}})+)\s*([0-9]{{1,2}})\s+({money})", line):
+        if waiting and (m := re.fullmatch(rf"({money})\s+([0-9]{{1,2}})\s*개?\s+(?:0\s+)?({money})", line)):
+            found.append((waiting, number(m[1]), number(m[2]), number(m[3])))
+            waiting = None
+        elif m := re.fullmatch(rf"(.*?[^\W\d].*?)\s+([0-9]{{1,3}}(?:,[0-9]{{3}})+)\s*([0-9]{{1,2}})\s+({money})", line):
             name, unit, quantity, amount = m[1], number(m[2]), number(m[3]), number(m[4])
             found.append((name.strip(), unit, quantity, amount))
             waiting = None
         elif m := re.fullmatch(rf"(.*?[^\W\d].*?)\s+([0-9]{{1,2}})\s+([0-9]{{1,3}}(?:,[0-9]{{3}})+)", line):
             found.append((m[1].strip(), number(m[3]) / max(1.0, number(m[2])), number(m[2]), number(m[3])))
             waiting = None
-        elif waiting and (m := re.fullmatch(rf"({money})\s+([0-9]{{1,2}})\s*개?\s+(?:0\s+)?({money})", line)):
-            found.append((waiting, number(m[1]), number(m[2]), number(m[3])))
-            waiting = None
         else:
             waiting = line if re.search(r"[^\W\d]", line) and not re.search(r"[0-9],[0-9]{3}", line) else None
     return found
