@@ -35,11 +35,11 @@ def screened(rules: DataFrame) -> DataFrame:
     return rules.withColumn("match_type", F.when(F.col("keyword").isin(*bad), "CONTAINS").otherwise(F.col("match_type"))) if bad else rules
 
 
-def matches(text: Column) -> Column:
-    """Whether the rule (keyword, match_type) of the row fits the text; FUZZY is CONTAINS."""
-    key, compacted = rule_key(F.col("keyword")), rule_key(text)
+def matches(text: Column, compacted: Column, lower: Column) -> Column:
+    """Whether the rule (keyword, match_type) of the row fits the text, given its key and lower case; FUZZY is CONTAINS."""
+    key = rule_key(F.col("keyword"))
     kind = F.col("match_type")
-    return F.when(kind == "EXACT", compacted == key).when(kind == "REGEX", F.rlike(text, F.concat(F.lit("(?i)"), F.when(kind == "REGEX", F.col("keyword")).otherwise(F.lit("$^"))))).otherwise((F.length(key) > 0) & (F.contains(compacted, key) | F.contains(F.lower(text), F.lower(F.col("keyword")))))
+    return F.when(kind == "EXACT", compacted == key).when(kind == "REGEX", F.rlike(text, F.concat(F.lit("(?i)"), F.when(kind == "REGEX", F.col("keyword")).otherwise(F.lit("$^"))))).otherwise((F.length(key) > 0) & (F.contains(compacted, key) | F.contains(lower, F.lower(F.col("keyword")))))
 
 
 def rule_score() -> Column:
@@ -51,7 +51,9 @@ def rule_score() -> Column:
 def scored(docs: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
     """(key, code, score, hits): what the rules of each code add up to. Rules are few, so they go to every task."""
     few = F.broadcast(screened(rules).limit(MOST_RULES).withColumn("_points", rule_score()))
-    hit = docs.select(key, text).join(few, matches(F.col(text)))
+    # a text's key is made once, not once a rule
+    keyed = docs.select(key, text, rule_key(F.col(text)).alias("_key"), F.lower(F.col(text)).alias("_lower"))
+    hit = keyed.join(few, matches(F.col(text), F.col("_key"), F.col("_lower")))
     return hit.groupBy(key, "code").agg(F.sum("_points").alias("score"), F.count(F.lit(1)).alias("hits"))
 
 
