@@ -37,7 +37,7 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.report(read_table(spark, sf_dir, "documents"))
+    return lines.report(read_table(spark, sf_dir, "documents"), whole=True)
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
