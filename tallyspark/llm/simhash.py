@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components
+from .common import checkpointed, connected_components, free_name
 
 SEED = 42
 
@@ -63,6 +63,12 @@ def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.filter(F.col("a").isNotNull() & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).distinct()
 
 
+def _rooted(nodes: DataFrame, radius: int) -> DataFrame:
+    """``nodes(fp, least)`` -> (fp, least, component)."""
+    found = connected_components(links(nodes.select("fp"), radius))
+    return nodes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> one row per document: doc_id, fingerprint, component_id.
 
@@ -73,8 +79,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     """
     marked = checkpointed(docs.select("doc_id", fingerprints(F.col("text"), words).alias("fp")))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = connected_components(links(nodes.select("fp"), radius))
-    rooted = nodes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    rooted = _rooted(nodes, radius)
     least = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = rooted.join(least, "component").select("fp", "component_id")
     return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -83,10 +88,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """All columns of the one document kept of each near-duplicate group.
 
-    Kept is the smallest doc_id; a group that has none keeps nothing to name it by, so its rows
-    are kept. Repeated rows of the kept doc_id are one document: one of them stays.
+    Kept is the row with the smallest doc_id (rows without one last), then text hash. Rows that
+    agree in both are one document: one of them stays.
     """
-    found = near_duplicates(docs, words, radius).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_root"))
-    drop = found.filter("_id is not null and _id <> _root").select("_id").distinct()
-    kept = docs.join(drop, docs["doc_id"] == drop["_id"], "left_anti")
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    key = free_name(docs, "text_hash")
+    marked = checkpointed(docs.select("doc_id", F.xxhash64("text").alias("h"), fingerprints(F.col("text"), words).alias("fp")))
+    row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "h")
+    nodes = marked.groupBy("fp").agg(F.min(row).alias("least"))
+    first = _rooted(nodes, radius).groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.h").alias("_h")).distinct()
+    keyed = docs.withColumn(key, F.xxhash64(docs["text"]))
+    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_id"]) & (keyed[key] == first["_h"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).drop(key)

@@ -63,6 +63,13 @@ def test_simhash_components(spark):
     assert kept - {None} == {v for v in least.values()}
 
 
+def test_keep_one_decides_by_row(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "gamma"))
+    rows = [(1, one), (2, one), (2, two), (3, three), (3, three), (None, three), (None, "only here and without an id"), (None, "only here and without an id"), (7, "first of two texts"), (7, "another text, same id")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((str(r[0]), r[1]) for r in got)) == sorted([("1", one), ("2", two), ("3", three), ("None", "only here and without an id"), ("7", "first of two texts"), ("7", "another text, same id")])
+
+
 def test_simhash_chain_and_empty(spark):
     chain = [0, 0b11, 0b1111, 0b111111, 1 << 63, (1 << 63) | 0b11 << 40]
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in chain]
