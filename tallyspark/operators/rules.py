@@ -25,7 +25,7 @@ def usable(rules: DataFrame) -> DataFrame:
 
 def screened(rules: DataFrame) -> DataFrame:
     """REGEX rules whose pattern is no valid expression become CONTAINS. Rules are few; they are looked at on the driver."""
-    rows = rules.filter(F.col("match_type") == "REGEX").select("keyword").distinct().limit(MOST_RULES).collect()
+    rows = rules.filter(F.col("match_type") == "REGEX").select("keyword").distinct().toLocalIterator()
     bad = []
     for r in rows:
         try:
@@ -49,11 +49,12 @@ def rule_score() -> Column:
 
 
 def scored(docs: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
-    """(key, code, score, hits): what the rules of each code add up to. Rules are few, so they go to every task."""
-    few = F.broadcast(screened(rules).limit(MOST_RULES).withColumn("_points", rule_score()))
+    """(key, code, score, hits): what the rules of each code add up to. Few rules go to every task, many are joined by Spark's choice."""
+    pointed = screened(rules).withColumn("_points", rule_score())
+    pointed = F.broadcast(pointed) if rules.count() <= MOST_RULES else pointed
     # a text's key is made once, not once a rule
     keyed = docs.select(key, text, rule_key(F.col(text)).alias("_key"), F.lower(F.col(text)).alias("_lower"))
-    hit = keyed.join(few, matches(F.col(text), F.col("_key"), F.col("_lower")))
+    hit = keyed.join(pointed, matches(F.col(text), F.col("_key"), F.col("_lower")))
     return hit.groupBy(key, "code").agg(F.sum("_points").alias("score"), F.count(F.lit(1)).alias("hits"))
 
 

@@ -81,6 +81,14 @@ def test_rules(spark):
     assert found == [("스타벅스", "DICTIONARY"), ("스타벅스", "CONTAINS"), ("Starbucks", "FUZZY"), ("qq", "RAW"), (None, "RAW")]
 
 
+def test_many_rules_are_not_cut(spark, monkeypatch):
+    rows = [(w, k, c, 1) for w, k, c in (("taxi", "CONTAINS", "A"), ("hotel", "CONTAINS", "B"), ("coffee", "CONTAINS", "C"), ("(bus", "REGEX", "D"), ("[train", "REGEX", "E"), ("plane(", "REGEX", "F"))]
+    r = spark.createDataFrame(rows, "keyword string, match_type string, code string, priority int")
+    docs = spark.createDataFrame([(1, "taxi hotel coffee (bus [train plane(")], "id int, text string")
+    monkeypatch.setattr(rules, "MOST_RULES", 2)
+    assert {x["code"] for x in rules.scored(docs, "id", "text", r).collect()} == set("ABCDEF")
+
+
 def test_items(spark):
     lines = "품목명 20,0002 40,000\n품목명 5,0007 35,000\n품목명 예시\n33,000 3개 0 99,000"
     assert [x[1:] for x in extraction.items_of(lines)] == [(20000, 2, 40000), (5000, 7, 35000), (33000, 3, 99000)]
