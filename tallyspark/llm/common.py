@@ -5,13 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of every contract: space and \\x09-\\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Spark's setting by which the shuffle files of a finished query are removed.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,11 +32,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: what is read more than once, by few columns or compressed."""
-    checkpointed(df.sparkSession.range(1))  # sets the folder where it is unset
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a Parquet table in the shared folder: what is read more than once, by few columns or compressed.
+
+    Nothing behind the table is read again, so Spark may remove the shuffles that made it.
+    """
+    spark = df.sparkSession
+    checkpointed(spark.range(1))  # sets the folder where it is unset
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def identity(text: str, *names: str) -> dict[str, Column]:
+    """Independent 64-bit hashes of a column, by name: two of them tell all texts of a corpus apart.
+
+    The number comes first, so it seeds the hash; as a last argument it would only be added to the first hash.
+    """
+    return {name: F.xxhash64(F.lit(i), F.col(text)) for i, name in enumerate(names)}
 
 
 def free_name(df: DataFrame, stem: str) -> str:
