@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, identity, stored
 
 LENGTH = 50
 #: Bytes of an anchor, by the places it can have in a string, and of the pieces whose hashes choose it.
@@ -520,7 +520,7 @@ def _kept_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h1, h2, n_bytes) of all rows; (h1, h2, doc, n_removed, n_spans, kept) of all distinct texts."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.select("doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"), text.alias("text"))
+    marked = docs.select("doc_id", text.alias("text")).withColumns(identity("text", "h1", "h2"))
     rows = marked.select("doc_id", "h1", "h2", F.octet_length("text").cast("long").alias("n_bytes"))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -528,14 +528,14 @@ def _kept_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     often = max(1000, total // (100_000 * W // 2))
     long = marked.filter(F.octet_length("text") >= LENGTH).select("h1", "h2", F.col("text").cast("binary").alias("text"))
     seen = long.mapInArrow(_anchors(buckets, width), _ROW_DDL).groupBy("bucket").applyInArrow(_shared(buckets, width, often), _ROW_DDL)
-    told = checkpointed(seen)
+    told = stored(seen)
     common = [np.frombuffer(r[0], np.uint64) for r in told.filter(F.col("kind") == _HOT).select("data").collect()]  # 100,000 at most
     hot = spark.sparkContext.broadcast(np.unique(np.concatenate(common)) if common else np.zeros(0, np.uint64))
     lists = told.filter(F.col("kind") == _SHARED).groupBy("bucket").applyInArrow(_at_home(8), _TEXT_DDL).withColumnRenamed("data", "shared")
     # the same columns in both uses below, so that one shuffle of the texts serves both
     texts = marked.groupBy("h1", "h2").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc"), F.first("text").cast("binary").alias("text"))
     pieces = texts.join(lists, ["h1", "h2"]).select("h1", "h2", "doc", "text", "shared").mapInArrow(_pieces(buckets, width, hot), _ROW_DDL)
-    gone = pieces.groupBy("bucket").applyInArrow(_removed(buckets), _ROW_DDL).groupBy("bucket").applyInArrow(_at_home(8), _TEXT_DDL).withColumnRenamed("data", "gone")
+    gone = stored(pieces.groupBy("bucket").applyInArrow(_removed(buckets), _ROW_DDL)).groupBy("bucket").applyInArrow(_at_home(8), _TEXT_DDL).withColumnRenamed("data", "gone")
     cut = texts.join(gone, ["h1", "h2"], "left").select("h1", "h2", "doc", "text", "gone").mapInArrow(_cut, "h1 long, h2 long, n_removed long, n_spans long, kept binary")
     return rows, cut
 

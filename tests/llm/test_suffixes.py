@@ -88,3 +88,15 @@ def test_suffix_array():
             while k < 50 and raw[a + k] == raw[b + k]:
                 k += 1
             assert k == n
+
+
+def test_identity_is_two_hashes(spark):
+    """The second hash isn't a function of the first: seeded with the first one, it would be another number."""
+    from pyspark.sql import functions as F
+
+    from tallyspark.llm.common import identity
+
+    df = spark.createDataFrame([("a",), ("b",), ("",)], "t string")
+    rows = df.select(*[c.alias(n) for n, c in identity("t", "h1", "h2").items()], F.xxhash64("t").alias("h"), F.xxhash64("t", F.lit(1)).alias("chained")).collect()
+    assert len({r["h1"] for r in rows}) == len({r["h2"] for r in rows}) == 3
+    assert all(r["h2"] not in (r["h1"], r["h"], r["chained"]) for r in rows)
