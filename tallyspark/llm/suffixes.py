@@ -35,9 +35,9 @@ K, T = 32, 13
 W = LENGTH - K + 1
 NO_ID = (1 << 63) - 1
 #: Anchors or bytes of runs that a task gathers before it sends them on.
-_FLUSH = 1_500_000
+_FLUSH = 1_000_000
 _CHUNK = 1 << 20
-_BLOCK_BYTES = 16_000_000
+_BLOCK_BYTES = 8_000_000
 _ROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
 _ROW_DDL = "bucket long, kind int, data binary"
 _TEXT = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("data", pa.binary())])
