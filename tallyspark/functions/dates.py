@@ -34,7 +34,7 @@ def deadline_status(due: Column, as_of: dt.date) -> Column:
     return F.when(due.isNull(), "NONE").when(left < 0, "OVERDUE").when(left == 0, "TODAY").when(left <= 3, "DUE_SOON").when(left <= 7, "NORMAL").otherwise("ENOUGH")
 
 
-def expense_date_status(raw: Column, day: Column, as_of: dt.date, too_far_years: int = 5) -> Column:
+def expense_date_status(raw: Column, day: Column, as_of: dt.date, too_far_years: int = 1) -> Column:
     """``raw``: what was written; ``day``: what it was read as. The first state that holds."""
     today = F.lit(as_of)
     return (
@@ -47,6 +47,18 @@ def expense_date_status(raw: Column, day: Column, as_of: dt.date, too_far_years:
     )
 
 
+def deadline_label(due: Column, as_of: dt.date) -> Column:
+    """How a deadline is shown; the texts are fixed values."""
+    left = F.datediff(due, F.lit(as_of))
+    return F.when(due.isNull(), "마감일 없음").when(left < 0, F.concat(F.lit("D+"), (-left).cast("string"))).when(left == 0, "오늘 마감").otherwise(F.concat(F.lit("D-"), left.cast("string")))
+
+
+def representative_day(first: Column, last: Column, as_of: dt.date) -> Column:
+    """A batch's expense day: the first one if sound, else the last one if sound, else whatever is there."""
+    sound = lambda day: expense_date_status(day.cast("string"), day, as_of) == "NORMAL"
+    return F.when(sound(first), first).when(sound(last), last).otherwise(F.coalesce(first, last))
+
+
 def chosen_deadline(manual: Column, expense_day: Column, expense_state: Column, uploaded: Column) -> Column:
     """A deadline set by hand, or from a sound expense date, or from the upload."""
     return F.coalesce(manual, settlement_due(F.when(expense_state == "NORMAL", expense_day)), settlement_due(uploaded))

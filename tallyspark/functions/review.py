@@ -29,13 +29,37 @@ def settlement(status: Column, explicit: Column | None = None) -> Column:
     return found if explicit is None else F.coalesce(explicit, found)
 
 
-def urgency_rank(deadline: Column, status: Column, score: Column) -> Column:
-    """The highest of what the deadline, the status and the score ask for; finished rows without need are 20."""
-    by_deadline = F.when(deadline == "OVERDUE", 100).when(deadline == "TODAY", 95).when(deadline == "DUE_SOON", 85).otherwise(50)
-    by_status = F.when(status == "FAILED", 88).when(status == "NEED_SUPPLEMENT", 80).otherwise(0)
-    by_score = F.when(score.isNull() | (score <= 0), 78).when(score < 30, 76).when(score < 50, 72).when(score < 70, 62).otherwise(0)
-    rank = F.greatest(by_deadline, by_status, by_score)
-    return F.when((rank <= 50) & status.isin(*DONE), 20).otherwise(rank)
+def _urgencies(deadline: Column, status: Column, score: Column, failed: Column, supplement: Column) -> list[tuple[Column, int, str]]:
+    """(condition, rank, reason), by rank. The reasons are fixed values."""
+    many = lambda n: F.coalesce(n, F.lit(0)) > 0
+    return [
+        (deadline == "OVERDUE", 100, "마감일이 지났습니다."),
+        (deadline == "TODAY", 95, "오늘 마감입니다."),
+        ((status == "FAILED") | many(failed), 88, "처리 실패 항목이 있어 우선 확인이 필요합니다."),
+        (deadline == "DUE_SOON", 85, "3일 이내 마감입니다."),
+        ((status == "NEED_SUPPLEMENT") | many(supplement), 80, "보완 요청이 필요한 항목입니다."),
+        (score.isNull() | (score <= 0), 78, "AI 추출 점수가 없거나 0점입니다."),
+        (score < 30, 76, "AI 추출 점수가 30점 미만입니다."),
+        (score < 50, 72, "AI 추출 점수가 50점 미만입니다."),
+        (score < 70, 62, "AI 추출 점수가 70점 미만입니다."),
+        (status.isin(*DONE), 20, "검증 통과 또는 확정 완료 항목입니다."),
+    ]
+
+
+def urgency_rank(deadline: Column, status: Column, score: Column, failed: Column | None = None, supplement: Column | None = None) -> Column:
+    """The highest of what the deadline, the status (or a batch's counts) and the score ask for; finished rows without need are 20."""
+    none = F.lit(0)
+    return _first(_urgencies(deadline, status, score, none if failed is None else failed, none if supplement is None else supplement), 1, F.lit(50))
+
+
+def urgency_reason(deadline: Column, status: Column, score: Column, failed: Column | None = None, supplement: Column | None = None) -> Column:
+    """The reason that goes with ``urgency_rank``."""
+    none = F.lit(0)
+    return _first(_urgencies(deadline, status, score, none if failed is None else failed, none if supplement is None else supplement), 2, F.lit("일반 검토 항목입니다."))
+
+
+def _first(cases: list[tuple], field: int, default: Column) -> Column:
+    return F.coalesce(*[F.when(c[0], F.lit(c[field])) for c in cases], default)
 
 
 def urgency_level(rank: Column) -> Column:
@@ -50,14 +74,16 @@ def issue_count(explicit: Column, counts: list[Column], status: Column) -> Colum
 
 def batch_state(n: dict[str, Column]) -> Column:
     """The stored state of a batch from its counts: total, processing, failed, supplement, review, confirmed, normal."""
+    ended = n["confirmed"] + n["supplement"] + n["failed"]
     return (
         F.when(n["total"] == 0, "UPLOADED")
         .when(n["processing"] > 0, "PROCESSING")
-        .when(n["confirmed"] == n["total"], "CONFIRMED")
-        .when(n["failed"] == n["total"], "FAILED")
+        .when(n["review"] > 0, "NEED_REVIEW")
+        .when(n["normal"] > 0, "READY_TO_CONFIRM")
+        .when((ended == n["total"]) & (n["supplement"] + n["failed"] > 0), "REVIEW_COMPLETED")
+        .when(ended == n["total"], "READY_TO_GENERATE")
         .when(n["supplement"] > 0, "NEED_SUPPLEMENT")
-        .when(n["review"] + n["failed"] > 0, "NEED_REVIEW")
-        .otherwise("READY_TO_CONFIRM")
+        .otherwise("NEED_REVIEW")
     )
 
 
@@ -66,10 +92,39 @@ def shown_state(n: dict[str, Column]) -> Column:
     return (
         F.when(n["total"] == 0, "EMPTY")
         .when(n["processing"] > 0, "PROCESSING")
+        .when(n["review"] > 0, "NEED_REVIEW")
+        .when(n["normal"] > 0, "READY_TO_CONFIRM")
+        .when(n["confirmed"] + n["supplement"] + n["failed"] == n["total"], "REVIEW_COMPLETED")
         .when(n["failed"] > 0, "HAS_FAILED")
         .when(n["supplement"] > 0, "NEED_SUPPLEMENT")
-        .when(n["review"] > 0, "NEED_REVIEW")
-        .when(n["confirmed"] == n["total"], "REVIEW_COMPLETED")
-        .when(n["normal"] + n["confirmed"] == n["total"], "READY_TO_CONFIRM")
         .otherwise("MIXED")
     )
+
+
+def settlement_counts(n: dict[str, Column], explicit: dict[str, Column] | None = None) -> dict[str, Column]:
+    """ready, settled, on_hold and unsettled files of a batch; a given number goes before a counted one."""
+    given = explicit or {}
+    pick = lambda k, counted: F.coalesce(given[k], counted) if k in given else counted
+    out = {"ready": pick("ready", n["normal"]), "settled": pick("settled", n["confirmed"]), "on_hold": pick("on_hold", n["supplement"] + n["failed"])}
+    rest = F.greatest(F.lit(0).cast("long"), n["total"] - out["ready"] - out["settled"] - out["on_hold"])
+    return out | {"unsettled": pick("unsettled", rest)}
+
+
+# The names of sorts, with their column and direction.
+SORTS = {"urgent": ("urgency", "desc"), "latest": ("uploaded_at", "desc"), "oldest": ("uploaded_at", "asc"), "deadline_asc": ("deadline", "asc"), "deadline_desc": ("deadline", "desc"), "score_asc": ("score", "asc"), "score_desc": ("score", "desc"), "expense_date_asc": ("expense_date", "asc"), "expense_date_desc": ("expense_date", "desc"), "urgency_desc": ("urgency", "desc"), "urgency_asc": ("urgency", "asc"), "uploaded_at_desc": ("uploaded_at", "desc"), "uploaded_at_asc": ("uploaded_at", "asc"), "issue_count_desc": ("issue_count", "desc"), "issue_count_asc": ("issue_count", "asc"), "file_count_desc": ("file_count", "desc"), "file_count_asc": ("file_count", "asc")}
+
+
+def review_order(sort: str | None, columns: dict[str, Column]) -> list[Column]:
+    """Sort keys of a review list; ``columns``: urgency, deadline, score, expense_date, uploaded_at, issue_count, file_count.
+
+    A missing deadline or expense date is the latest of all, a missing upload the earliest, a missing score comes
+    last either way. Ties: urgency falling, deadline, score, then the latest upload. Unknown sorts are ``urgent``.
+    """
+    by, direction = SORTS.get(sort or "", SORTS["urgent"])
+    up = direction == "asc"
+    dated = by in ("deadline", "expense_date")
+    value = F.coalesce(columns[by], F.lit(999.0 if up else -1.0)) if by == "score" else columns[by]
+    if by in ("urgency", "issue_count", "file_count"):
+        value = F.coalesce(value, F.lit(1 if by == "file_count" else 0))
+    first = (F.asc_nulls_last(value) if dated else F.asc_nulls_first(value)) if up else (F.desc_nulls_first(value) if dated else F.desc_nulls_last(value))
+    return [first, F.desc(F.coalesce(columns["urgency"], F.lit(0))), F.asc_nulls_last(columns["deadline"]), F.asc(F.coalesce(columns["score"], F.lit(999.0))), F.desc_nulls_last(columns["uploaded_at"])]

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Category codes, their names, and other codes for them.
-CATEGORY_NAMES = {"MEAL": "식대", "TRANSPORT": "교통비", "LODGING": "숙박비", "SUPPLIES": "소모품비", "FUEL": "주유비", "COMMUNICATION": "통신비", "MATERIAL": "자재비", "ETC": "기타"}
+CATEGORY_NAMES = {"MEAL": "식비", "TRANSPORT": "교통비", "LODGING": "숙박비", "SUPPLIES": "소모품비", "FUEL": "유류비", "COMMUNICATION": "통신비", "MATERIAL": "자재비", "ETC": "기타"}
 CATEGORY_ALIASES = {"FOOD": "MEAL", "TRAFFIC": "TRANSPORT", "TRAVEL": "TRANSPORT"}
 NULL_WORDS = ("none", "null", "undefined", "nan")
 
@@ -43,12 +43,56 @@ def first_present(*columns: Column) -> Column:
     return F.coalesce(*[F.when(F.trim(c.cast("string")) != "", c) for c in columns])
 
 
-def without_ghosts(text: Column, rounds: int = 4) -> Column:
-    """A Hangul syllable three times or more in a row is one; then a repeated tail of two syllables."""
+def without_ghosts(text: Column, rounds: int = 4, drop_tail: bool = True) -> Column:
+    """Hangul syllables that a misreading repeats: three or more in a row are one, and a tail that repeats its last
+    syllable or last two is cut to one of them. ``drop_tail``: a last word of up to three letters or digits goes too."""
+    text = F.regexp_replace(F.trim(text), r"([가-힣])\1{2,}", "$1")
     for _ in range(rounds):
-        text = F.regexp_replace(text, r"([가-힣])\1{2,}", "$1")
-        text = F.regexp_replace(text, r"([가-힣]{2,})\1{2,}", "$1")
-    return text
+        text = F.regexp_replace(text, r"([가-힣])\1+$", "$1")
+        text = F.regexp_replace(text, r"([가-힣]{2})\1+$", "$1")
+    return F.trim(F.regexp_replace(text, r"\s+[A-Za-z0-9]{1,3}$", "")) if drop_tail else text
+
+
+def candidate_item_name(text: Column) -> Column:
+    """An item's name without the product codes before it and the marks after it."""
+    out = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    for pattern in (r"^\*?\s*\d{3,8}\s+", r"^\d{3,8}[A-Za-z]{1,5}\s*(?=[가-힣A-Za-z])", r"^\[[0-9A-Za-z-]{3,30}\]\s*", r"[\x00-\x1F]"):
+        out = F.regexp_replace(out, pattern, "")
+    return F.trim(F.regexp_replace(F.trim(out), r"[\s\-_*\[\]]+$", ""))
+
+
+# Document types by their names and codes.
+DOCUMENT_TYPES = {"영수증": "RECEIPT", "거래명세서": "TRANSACTION_STATEMENT", "납품서": "DELIVERY_NOTE", "자재검수증": "MATERIAL_INSPECTION", "작업일보": "DAILY_REPORT"}
+# Groups of fields, each by whole names, beginnings and parts of names; the first that fits counts.
+FIELD_GROUPS = (
+    ("BASIC", ("department_name", "site_name", "user_name", "expense_title", "document_type", "document_no", "document_title"), (), ()),
+    ("DATE", (), (), ("date", "time")),
+    ("VENDOR", ("business_number",), ("vendor",), ()),
+    ("ACCOUNT", (), (), ("category", "account", "budget", "cost_center")),
+    ("ITEM", ("line_no", "quantity", "unit", "unit_price", "amount", "description"), ("item",), ()),
+    ("AMOUNT", (), (), ("amount",)),
+    ("PAYMENT", (), (), ("payment", "card", "approval", "receipt")),
+    ("WORK", (), (), ("work", "equipment", "material", "weather", "progress")),
+)
+
+
+def document_type(name: Column) -> Column:
+    """The code of a document type's name; other texts stay, blank ones are receipts."""
+    raw = F.trim(F.coalesce(name, F.lit("")))
+    table = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in DOCUMENT_TYPES.items()))
+    return F.coalesce(F.element_at(table, raw), F.nullif(raw, F.lit("")), F.lit("RECEIPT"))
+
+
+def field_group(key: Column) -> Column:
+    """The group that a field is shown in."""
+    key, out = F.coalesce(key, F.lit("")), None
+    for name, whole, starts, parts in FIELD_GROUPS:
+        tests = [key.isin(*whole)] * bool(whole) + [F.startswith(key, F.lit(x)) for x in starts] + [F.contains(key, F.lit(x)) for x in parts]
+        hit = tests[0]
+        for t in tests[1:]:
+            hit = hit | t
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise("ETC")
 
 
 def file_name(text: Column, most: int = 50) -> Column:
@@ -63,8 +107,10 @@ def summary(text: Column, category: Column, most: int = 42) -> Column:
 
 
 def category_name(code: Column) -> Column:
-    table = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in CATEGORY_NAMES.items() | {(a, CATEGORY_NAMES[c]) for a, c in CATEGORY_ALIASES.items()}))
-    return F.coalesce(F.element_at(table, F.upper(F.trim(code))), F.nullif(F.trim(code), F.lit("")), F.lit(CATEGORY_NAMES["ETC"]))
+    """The name of a category's code, also of a code written as a field key; other texts stay, null is blank."""
+    names = CATEGORY_NAMES | {a: CATEGORY_NAMES[c] for a, c in CATEGORY_ALIASES.items()}
+    table, raw = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in names.items())), F.trim(F.coalesce(code, F.lit("")))
+    return F.coalesce(F.element_at(table, F.upper(field_key(raw))), F.element_at(table, F.upper(raw)), raw)
 
 
 def first_keyword(text: Column, lists: list[tuple[str, list[str]]], default: str | None = None) -> Column:

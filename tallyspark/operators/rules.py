@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import difflib
-import re
 
 import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +24,17 @@ def usable(rules: DataFrame) -> DataFrame:
 
 
 def screened(rules: DataFrame) -> DataFrame:
-    """REGEX rules whose pattern is no valid expression become CONTAINS. Rules are few; they are looked at on the driver."""
+    """REGEX rules whose pattern is no valid expression become CONTAINS. Rules are few; they are looked at on the driver.
+
+    Tried is Java's compiler, which runs them later: what only Python accepts is no valid expression here.
+    """
     rows = rules.filter(F.col("match_type") == "REGEX").select("keyword").distinct().toLocalIterator()
+    compiler = rules.sparkSession.sparkContext._jvm.java.util.regex.Pattern
     bad = []
     for r in rows:
         try:
-            re.compile(r["keyword"])
-        except re.error:
+            compiler.compile(r["keyword"])
+        except IllegalArgumentException:
             bad.append(r["keyword"])
     return rules.withColumn("match_type", F.when(F.col("keyword").isin(*bad), "CONTAINS").otherwise(F.col("match_type"))) if bad else rules
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, review
+from ..functions import dates, money, review
 from ..operators import relational, validation
 from ..sources.scans import table
 from .base import AS_OF, FILES, files
@@ -48,14 +49,14 @@ def batch_rollup_having(spark, d):
     return counts(spark, d).select("o_orderkey", "total", (F.col("review") + F.col("supplement")).alias("open")).filter("open > 2")
 
 
-@query(f"""WITH {BATCHES} SELECT o_orderkey, CASE WHEN total = 0 THEN 'UPLOADED' WHEN processing > 0 THEN 'PROCESSING' WHEN confirmed = total THEN 'CONFIRMED' WHEN failed = total THEN 'FAILED' WHEN supplement > 0 THEN 'NEED_SUPPLEMENT'
-  WHEN review + failed > 0 THEN 'NEED_REVIEW' ELSE 'READY_TO_CONFIRM' END AS state FROM n""")
+@query(f"""WITH {BATCHES} SELECT o_orderkey, CASE WHEN total = 0 THEN 'UPLOADED' WHEN processing > 0 THEN 'PROCESSING' WHEN review > 0 THEN 'NEED_REVIEW' WHEN normal > 0 THEN 'READY_TO_CONFIRM'
+  WHEN confirmed = total THEN 'READY_TO_GENERATE' WHEN confirmed + supplement + failed = total THEN 'REVIEW_COMPLETED' WHEN supplement > 0 THEN 'NEED_SUPPLEMENT' ELSE 'NEED_REVIEW' END AS state FROM n""")
 def batch_status_sm(spark, d):
     return counts(spark, d).select("o_orderkey", review.batch_state({k: F.col(k) for k in NAMES}).alias("state"))
 
 
-@query(f"""WITH {BATCHES} SELECT o_orderkey, CASE WHEN total = 0 THEN 'EMPTY' WHEN processing > 0 THEN 'PROCESSING' WHEN failed > 0 THEN 'HAS_FAILED' WHEN supplement > 0 THEN 'NEED_SUPPLEMENT' WHEN review > 0 THEN 'NEED_REVIEW'
-  WHEN confirmed = total THEN 'REVIEW_COMPLETED' WHEN normal + confirmed = total THEN 'READY_TO_CONFIRM' ELSE 'MIXED' END AS state FROM n""")
+@query(f"""WITH {BATCHES} SELECT o_orderkey, CASE WHEN total = 0 THEN 'EMPTY' WHEN processing > 0 THEN 'PROCESSING' WHEN review > 0 THEN 'NEED_REVIEW' WHEN normal > 0 THEN 'READY_TO_CONFIRM'
+  WHEN confirmed + supplement + failed = total THEN 'REVIEW_COMPLETED' WHEN failed > 0 THEN 'HAS_FAILED' WHEN supplement > 0 THEN 'NEED_SUPPLEMENT' ELSE 'MIXED' END AS state FROM n""")
 def batch_status_display(spark, d):
     return counts(spark, d).select("o_orderkey", review.shown_state({k: F.col(k) for k in NAMES}).alias("state"))
 
@@ -86,24 +87,25 @@ def deadline_status(spark, d):
     return enriched(spark, d).groupBy("deadline", "due").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day FROM orders) SELECT CASE WHEN abs(year(day) - {AS_OF.year}) > 5 THEN 'TOO_FAR_YEAR' WHEN datediff('day', {DAY}, day) > 1 THEN 'FUTURE_DATE' WHEN datediff('day', {DAY}, day) < -365 THEN 'TOO_OLD' ELSE 'NORMAL' END AS state, count(*) AS n FROM o GROUP BY 1""")
+@query(f"""WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day FROM orders) SELECT CASE WHEN year(day) < {AS_OF.year} - 1 OR year(day) > {AS_OF.year} + 1 THEN 'TOO_FAR_YEAR' WHEN datediff('day', {DAY}, day) > 1 THEN 'FUTURE_DATE' WHEN datediff('day', {DAY}, day) < -365 THEN 'TOO_OLD' ELSE 'NORMAL' END AS state, count(*) AS n FROM o GROUP BY 1""")
 def expense_date_status(spark, d):
     raw = F.date_format("o_orderdate", "yyyy.M.d")
     o = table(spark, d, "orders").select(raw.alias("raw"), dates.date_only(raw).alias("day"))
     return o.groupBy(dates.expense_date_status(F.col("raw"), F.col("day"), AS_OF).alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {FILES} SELECT batch_id, count(CASE WHEN status = 'CONFIRMED' THEN 1 END) AS settled, greatest(0, count(*) - count(CASE WHEN status = 'CONFIRMED' THEN 1 END)) AS unsettled,
-  CASE WHEN count(CASE WHEN status IN ('NEED_REVIEW', 'NEED_SUPPLEMENT', 'FAILED') THEN 1 END) > 0 THEN 'BLOCKED' ELSE 'OPEN' END AS gate FROM files GROUP BY 1""")
+@query(f"""WITH {BATCHES}, g AS (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN 1 END AS given_hold, CASE WHEN o_orderkey % 5 = 0 THEN 0 END AS given_open FROM n)
+  SELECT o_orderkey, normal AS ready, confirmed AS settled, CAST(coalesce(given_hold, supplement + failed) AS BIGINT) AS on_hold, CAST(coalesce(given_open, greatest(0, total - normal - confirmed - coalesce(given_hold, supplement + failed))) AS BIGINT) AS unsettled FROM g""")
 def settlement_counts(spark, d):
-    n = files(spark, d).groupBy("batch_id").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(review.settlement(F.col("status")) == "SETTLED", 1)).alias("settled"), F.count(F.when(F.col("status").isin("NEED_REVIEW", "NEED_SUPPLEMENT", "FAILED"), 1)).alias("blocking"))
-    return n.select("batch_id", "settled", F.greatest(F.lit(0).cast("long"), F.col("total") - F.col("settled")).alias("unsettled"), F.when(F.col("blocking") > 0, "BLOCKED").otherwise("OPEN").alias("gate"))
+    given = {"on_hold": F.when(F.col("o_orderkey") % 7 == 0, F.lit(1).cast("long")), "unsettled": F.when(F.col("o_orderkey") % 5 == 0, F.lit(0).cast("long"))}
+    found = review.settlement_counts({k: F.col(k) for k in NAMES}, given)
+    return counts(spark, d).select("o_orderkey", *[c.alias(k) for k, c in found.items()])
 
 
-@query(f"""WITH {ENRICHED} SELECT batch_id, line_no, l_partkey, rank, CAST(score AS DOUBLE) AS score, due FROM d4 ORDER BY rank DESC, due ASC NULLS FIRST, coalesce(score, 999) ASC, batch_id, line_no, l_partkey LIMIT 50""")
+@query(f"""WITH {ENRICHED} SELECT batch_id, line_no, l_partkey, rank, CAST(score AS DOUBLE) AS score, due FROM d4 ORDER BY rank DESC, due ASC NULLS LAST, coalesce(score, 999) ASC, batch_id, line_no, l_partkey LIMIT 50""")
 def review_topk(spark, d):
     rows = enriched(spark, d).select("batch_id", "line_no", "l_partkey", "rank", "score", "due")
-    return rows.orderBy(F.desc("rank"), F.asc_nulls_first("due"), F.coalesce("score", F.lit(999.0)), "batch_id", "line_no", "l_partkey").limit(50)
+    return rows.orderBy(F.desc("rank"), F.asc_nulls_last("due"), F.coalesce("score", F.lit(999.0)), "batch_id", "line_no", "l_partkey").limit(50)
 
 
 @query("""WITH l AS (SELECT l_orderkey, min(CAST(l_shipdate AS DATE)) AS s, max(CAST(l_shipdate AS DATE)) AS e FROM lineitem GROUP BY 1) SELECT l_orderkey, s AS first_day, e AS last_day FROM l WHERE e >= DATE '1997-03-01' AND s <= DATE '1997-04-30'""")
@@ -135,3 +137,55 @@ def validation_issues(spark, d):
 def confidence_caps(spark, d):
     score = validation.confidence([(F.col("score") >= 50, 0.3), (F.col("status") == "FAILED", -0.4), (F.col("amount") > 10000, 0.25)])
     return files(spark, d).groupBy(F.round(validation.capped(score, [(F.col("status") == "NEED_REVIEW", 0.6)]), 4).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+
+
+BATCH_ROWS = f"""{BATCHES}, dated AS (SELECT batch_id, min(shipped) AS first_day, max(shipped) AS last_day, CAST(round(avg(CAST(CASE WHEN score > 20 THEN score END AS DOUBLE))) AS DOUBLE) AS score FROM files GROUP BY 1),
+  b0 AS (SELECT n.*, first_day, last_day, CASE WHEN score <= 1 THEN round(score * 100) ELSE score END AS score, CAST(o_orderdate AS DATE) AS uploaded,
+    CASE WHEN total = 0 THEN 'EMPTY' WHEN processing > 0 THEN 'PROCESSING' WHEN review > 0 THEN 'NEED_REVIEW' WHEN normal > 0 THEN 'READY_TO_CONFIRM' WHEN confirmed + supplement + failed = total THEN 'REVIEW_COMPLETED' WHEN failed > 0 THEN 'HAS_FAILED' WHEN supplement > 0 THEN 'NEED_SUPPLEMENT' ELSE 'MIXED' END AS status
+    FROM n LEFT JOIN dated ON batch_id = n.o_orderkey JOIN orders o ON o.o_orderkey = n.o_orderkey),
+  b1 AS (SELECT *, first_day IS NOT NULL AND abs(year(first_day) - {AS_OF.year}) <= 1 AND datediff('day', {DAY}, first_day) BETWEEN -365 AND 1 AS ok_first, last_day IS NOT NULL AND abs(year(last_day) - {AS_OF.year}) <= 1 AND datediff('day', {DAY}, last_day) BETWEEN -365 AND 1 AS ok_last FROM b0),
+  b2 AS (SELECT *, CASE WHEN ok_first THEN first_day WHEN ok_last THEN last_day ELSE first_day END AS expense_day, CASE WHEN ok_first THEN first_day WHEN ok_last THEN last_day ELSE uploaded END AS base FROM b1),
+  b3 AS (SELECT *, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(date_trunc('month', base + INTERVAL 1 MONTH) AS DATE) + 4 END AS due FROM b2),
+  b4 AS (SELECT *, {DEADLINE} AS deadline FROM b3),
+  b5 AS (SELECT *, CASE WHEN deadline = 'OVERDUE' THEN 100 WHEN deadline = 'TODAY' THEN 95 WHEN failed > 0 THEN 88 WHEN deadline = 'DUE_SOON' THEN 85 WHEN supplement > 0 THEN 80 WHEN score IS NULL OR score <= 0 THEN 78 WHEN score < 30 THEN 76 WHEN score < 50 THEN 72 WHEN score < 70 THEN 62
+    WHEN status IN ('READY_TO_CONFIRM', 'REVIEW_COMPLETED') THEN 20 ELSE 50 END AS rank FROM b4)"""
+
+
+def batch_rows(spark, d):
+    """Every batch with its state, score, expense day, deadline, urgency and its reason; some deadlines are unknown."""
+    dated = files(spark, d).groupBy("batch_id").agg(F.min("shipped").alias("first_day"), F.max("shipped").alias("last_day"), F.round(F.avg(F.when(F.col("score") > 20, F.col("score")))).alias("mean"))
+    uploaded = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("uploaded"))
+    b = counts(spark, d).join(dated, F.col("batch_id") == F.col("o_orderkey"), "left").join(uploaded, "o_orderkey")
+    b = b.withColumns({"score": money.percent(F.col("mean"), bounded=False), "status": review.shown_state({k: F.col(k) for k in NAMES}), "expense_day": dates.representative_day(F.col("first_day"), F.col("last_day"), AS_OF)})
+    state = dates.expense_date_status(F.col("expense_day").cast("string"), F.col("expense_day"), AS_OF)
+    chosen = dates.chosen_deadline(F.lit(None).cast("date"), F.col("expense_day"), state, F.col("uploaded"))
+    b = b.withColumn("due", F.when(F.col("o_orderkey") % 11 != 0, chosen)).withColumn("deadline", dates.deadline_status(F.col("due"), AS_OF))
+    asked = [F.col(c) for c in ("deadline", "status", "score", "failed", "supplement")]
+    return b.withColumns({"rank": review.urgency_rank(*asked), "reason": review.urgency_reason(*asked), "label": dates.deadline_label(F.col("due"), AS_OF), "issues": review.issue_count(F.lit(None).cast("long"), [F.col("review"), F.col("supplement"), F.col("failed")], F.col("status"))})
+
+
+@query(f"""WITH {BATCH_ROWS} SELECT o_orderkey, status, expense_day, due, deadline, CAST(rank AS INTEGER) AS rank, CASE WHEN due IS NULL THEN '마감일 없음' WHEN due < {DAY} THEN 'D+' || datediff('day', due, {DAY}) WHEN due = {DAY} THEN '오늘 마감' ELSE 'D-' || datediff('day', {DAY}, due) END AS label,
+  CASE rank WHEN 100 THEN '마감일이 지났습니다.' WHEN 95 THEN '오늘 마감입니다.' WHEN 88 THEN '처리 실패 항목이 있어 우선 확인이 필요합니다.' WHEN 85 THEN '3일 이내 마감입니다.' WHEN 80 THEN '보완 요청이 필요한 항목입니다.' WHEN 78 THEN 'AI 추출 점수가 없거나 0점입니다.' WHEN 76 THEN 'AI 추출 점수가 30점 미만입니다.'
+    WHEN 72 THEN 'AI 추출 점수가 50점 미만입니다.' WHEN 62 THEN 'AI 추출 점수가 70점 미만입니다.' WHEN 20 THEN '검증 통과 또는 확정 완료 항목입니다.' ELSE '일반 검토 항목입니다.' END AS reason FROM b5""")
+def batch_enrichment(spark, d):
+    return batch_rows(spark, d).select("o_orderkey", "status", "expense_day", "due", "deadline", "rank", "label", "reason")
+
+
+#: Sorts of the review list, with what the reference's comparison of the key comes to in SQL.
+_SORTED = {"urgent": "rank DESC", "deadline_asc": "due ASC NULLS LAST", "deadline_desc": "due DESC NULLS FIRST", "score_asc": "coalesce(score, 999) ASC", "score_desc": "coalesce(score, -1) DESC", "expense_date_desc": "expense_day DESC NULLS FIRST", "issue_count_desc": "issues DESC", "file_count_asc": "total ASC", "oldest": "uploaded ASC"}
+_TIES = "rank DESC, due ASC NULLS LAST, coalesce(score, 999) ASC, uploaded DESC, o_orderkey"
+_ISSUES = "CASE WHEN review + supplement + failed > 0 THEN review + supplement + failed WHEN status IN ('NEED_REVIEW', 'NEED_SUPPLEMENT', 'FAILED') THEN 1 ELSE 0 END"
+
+
+@query(f"WITH {BATCH_ROWS}, b6 AS (SELECT *, {_ISSUES} AS issues FROM b5) " + " UNION ALL ".join(f"(SELECT '{name}' AS sort, o_orderkey, CAST(row_number() OVER (ORDER BY {by}, {_TIES}) AS INTEGER) AS place FROM b6 ORDER BY place LIMIT 20)" for name, by in _SORTED.items()))
+def review_sorts(spark, d):
+    """The first 20 batches by each sort of the review list."""
+    b = batch_rows(spark, d)
+    columns = {"urgency": F.col("rank"), "deadline": F.col("due"), "score": F.col("score"), "expense_date": F.col("expense_day"), "uploaded_at": F.col("uploaded"), "issue_count": F.col("issues"), "file_count": F.col("total")}
+    out = None
+    for name in _SORTED:
+        keys = [*review.review_order(name, columns), F.asc("o_orderkey")]
+        # the window has 20 rows; what comes before is a top-k on each task
+        first = b.orderBy(*keys).limit(20).select(F.lit(name).alias("sort"), "o_orderkey", F.row_number().over(Window.orderBy(*keys)).alias("place"))
+        out = first if out is None else out.union(first)
+    return out

@@ -32,7 +32,7 @@ def test_dates(spark):
     rows = [("2024-1-5",), ("20240105",), ("2024년 1월 5일",), ("24.1.5",), ("2024-13-01",), ("",), (None,)]
     assert [r[0] for r in values(spark, rows, "x string", dates.date_only(F.col("x")))] == [dt.date(2024, 1, 5)] * 4 + [None] * 3
     assert values(spark, [(dt.date(2024, 1, 31),), (None,)], "d date", dates.settlement_due(F.col("d"))) == [(dt.date(2024, 2, 5),), (None,)]
-    states = values(spark, [("", None), ("x", None), ("x", DAY.replace(year=2010)), ("x", DAY + dt.timedelta(2)), ("x", DAY - dt.timedelta(400)), ("x", DAY)], "r string, d date", dates.expense_date_status(F.col("r"), F.col("d"), DAY))
+    states = values(spark, [("", None), ("x", None), ("x", DAY.replace(year=2010)), ("x", DAY + dt.timedelta(2)), ("x", DAY - dt.timedelta(370)), ("x", DAY)], "r string, d date", dates.expense_date_status(F.col("r"), F.col("d"), DAY))
     assert [s for (s,) in states] == ["MISSING", "SUSPICIOUS", "TOO_FAR_YEAR", "FUTURE_DATE", "TOO_OLD", "NORMAL"]
 
 
@@ -47,10 +47,46 @@ def test_text(spark):
     assert all(a == b for a, b in values(spark, ghosts, "x string, y string", text.without_ghosts(F.col("x")), F.col("y")))
     assert values(spark, [(" a  b ",), ("NaN",), ("",), (None,)], "x string", text.cleaned(F.col("x"))) == [("a b",), (None,), (None,), (None,)]
     assert values(spark, [("A",), ("AA",), ("1",), (None,)], "x string", text.column_number(F.col("x"))) == [(1,), (27,), (None,), (None,)]
-    assert values(spark, [("food",), ("MEAL",), (None,), ("other",)], "x string", text.category_name(F.col("x"))) == [("식대",), ("식대",), ("기타",), ("other",)]
+    assert values(spark, [("food",), ("MEAL",), (None,), ("other",)], "x string", text.category_name(F.col("x"))) == [("식비",), ("식비",), ("",), ("other",)]
     assert values(spark, [('```{"a": 1}``` ',), ("{no",)], "x string", text.json_inside(F.col("x"))) == [('{"a": 1}',), (None,)]
 
 
+def test_states_as_fixed_by_counts(spark):
+    """Every branch of the stored and of the shown state."""
+    names = ("total", "processing", "failed", "supplement", "review", "confirmed", "normal")
+    cases = [((0, 0, 0, 0, 0, 0, 0), "UPLOADED", "EMPTY"), ((3, 1, 1, 0, 1, 0, 0), "PROCESSING", "PROCESSING"), ((3, 0, 1, 0, 1, 0, 1), "NEED_REVIEW", "NEED_REVIEW"), ((3, 0, 1, 1, 0, 0, 1), "READY_TO_CONFIRM", "READY_TO_CONFIRM"),
+             ((3, 0, 1, 1, 0, 1, 0), "REVIEW_COMPLETED", "REVIEW_COMPLETED"), ((2, 0, 0, 0, 0, 2, 0), "READY_TO_GENERATE", "REVIEW_COMPLETED"), ((3, 0, 1, 1, 0, 0, 0), "NEED_SUPPLEMENT", "HAS_FAILED"), ((3, 0, 0, 1, 0, 0, 0), "NEED_SUPPLEMENT", "NEED_SUPPLEMENT"),
+             ((3, 0, 1, 0, 0, 0, 0), "NEED_REVIEW", "HAS_FAILED"), ((3, 0, 0, 0, 0, 1, 0), "NEED_REVIEW", "MIXED")]
+    n = {k: F.col(k) for k in names}
+    got = values(spark, [c[0] for c in cases], ", ".join(f"{k} int" for k in names), review.batch_state(n), review.shown_state(n))
+    assert got == [c[1:] for c in cases]
+
+
+def test_amount_repairs(spark):
+    """Misread zeros, the total, and amounts that unit and quantity bear out."""
+    rows = [(16880, None), (15088, None), (31888, None), (12345, None), (980, None), (1800, None), (16900, 17000), (500, 1400)]
+    got = values(spark, rows, "n int, t int", money.zero_repairs(F.col("n"), F.col("t")))
+    assert [g for (g,) in got] == [[16880, 16000], [15088, 15000], [31888, 31000], [12345], [980], [1800, 1000], [16900, 17000], [500, 1400]]
+    amounts = [(16880, 8000, 2, 16000), (16880, None, 2, 16000), (16880, 8440, 2, 16880), (12345, 100, 1, 12345), (16880, 8000, 0, 16000)]
+    got = values(spark, [a[:3] for a in amounts], "a int, u int, q int", money.corrected_amount(F.col("a"), F.col("u"), F.col("q")))
+    assert [g for (g,) in got] == [a[3] for a in amounts]
+    units = [(8088, 16000, 2, 8000), (8088, 16176, 2, 8088), (5000, 16000, 2, 5000), (5000, 16000, 0, 5000)]
+    got = values(spark, [u[:3] for u in units], "u int, a int, q int", money.corrected_unit(F.col("u"), F.col("a"), F.col("q")))
+    assert [g for (g,) in got] == [u[3] for u in units]
+
+
+def test_names_groups_and_types(spark):
+    ghosts = [("하이볼볼", "하이볼"), ("얼그레이이", "얼그레이"), ("라떼 2A", "라떼"), ("커피커피커피", "커피"), (None, None)]
+    assert values(spark, [g[:1] for g in ghosts], "x string", text.without_ghosts(F.col("x"))) == [g[1:] for g in ghosts]
+    assert values(spark, [("라떼 2A",)], "x string", text.without_ghosts(F.col("x"), drop_tail=False)) == [("라떼 2A",)]
+    names = [("* 12345 우유", "우유"), ("880123AB 라면", "라면"), ("[A-123] 커피 --", "커피"), ("12 사과", "12 사과"), (None, "")]
+    assert values(spark, [n[:1] for n in names], "x string", text.candidate_item_name(F.col("x"))) == [n[1:] for n in names]
+    groups = [("site_name", "BASIC"), ("paid_date", "DATE"), ("vendor_phone", "VENDOR"), ("cost_center", "ACCOUNT"), ("amount", "ITEM"), ("tax_amount", "AMOUNT"), ("card_no", "PAYMENT"), ("weather", "WORK"), ("x", "ETC"), (None, "ETC")]
+    assert values(spark, [g[:1] for g in groups], "x string", text.field_group(F.col("x"))) == [g[1:] for g in groups]
+    kinds = [("영수증", "RECEIPT"), (" DAILY_REPORT ", "DAILY_REPORT"), ("", "RECEIPT"), (None, "RECEIPT"), ("other", "other")]
+    assert values(spark, [k[:1] for k in kinds], "x string", text.document_type(F.col("x"))) == [k[1:] for k in kinds]
+
+
 def test_urgency(spark):
     rows = [("OVERDUE", "CONFIRMED", 95.0), ("NONE", "CONFIRMED", 95.0), ("NONE", "FAILED", 10.0), ("NONE", "NEED_REVIEW", None), ("NORMAL", "NEED_REVIEW", 60.0)]
     got = values(spark, rows, "d string, s string, x double", review.urgency_rank(F.col("d"), F.col("s"), F.col("x")))
