@@ -27,13 +27,21 @@ def query(sql: str | None):
 def report_summary(spark, d):
     f = files(spark, d).join(table(spark, d, "orders"), F.col("batch_id") == F.col("o_orderkey"))
     ok = F.col("status") == "CONFIRMED"
-    return f.agg(
-        F.count_distinct(F.when(ok, F.col("o_orderkey"))).alias("confirmed_batches"),
-        F.count(F.when(ok, 1)).alias("confirmed_files"),
-        F.coalesce(F.sum(F.when(ok, F.col("amount"))), F.lit(0)).cast("double").alias("total_amount"),
-        F.count(F.when(F.col("status").isin("NEED_REVIEW", "NEED_SUPPLEMENT"), 1)).alias("open_files"),
-        F.count(F.when(F.col("status") == "FAILED", 1)).alias("failed_files"),
-        F.count_distinct("o_orderkey").alias("batches"),
+    # a row for each batch first: distinct counts side by side would write every file three times
+    each = f.groupBy("o_orderkey").agg(
+        F.count(F.when(ok, 1)).alias("confirmed"),
+        F.sum(F.when(ok, F.col("amount"))).alias("amount"),
+        F.count(F.when(F.col("status").isin("NEED_REVIEW", "NEED_SUPPLEMENT"), 1)).alias("open"),
+        F.count(F.when(F.col("status") == "FAILED", 1)).alias("failed"),
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    return each.agg(
+        F.count(F.when(F.col("confirmed") > 0, 1)).alias("confirmed_batches"),
+        total("confirmed").alias("confirmed_files"),
+        F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("total_amount"),
+        total("open").alias("open_files"),
+        total("failed").alias("failed_files"),
+        F.count("o_orderkey").alias("batches"),
     )
 
 
