@@ -33,8 +33,8 @@ END = b"\n"  # no word holds a line feed, so this stands for the end of a text
 VOCABULARY, SIZE, CONTEXT = 512, 16, 2
 #: Most frequent tokens whose counts every task holds; those of the rest are joined.
 HELD = 131_072
-#: Texts and tokens of the sample that the first parameters come from, at most.
-SAMPLE_DOCS, SAMPLE_TOKENS = 1000, 300_000
+#: About how many texts the first parameters come from, and how many bytes they have at most.
+SAMPLE_DOCS, SAMPLE_BYTES = 1000, 2_000_000
 NOISE, BATCH, SPEED = 24, 4096, 0.1
 #: Distinct words that a task counts before it sends them on, and bytes of text taken at once.
 _WORDS, _GROUP = 200_000, 2_000_000
@@ -212,10 +212,40 @@ def _averaged(training: DataFrame, words, start: Bilinear, held: Vocabulary) ->
     return Bilinear.of(np.array([r["value"] for r in rows]), v) if rows else start
 
 
+def most_frequent(counts: DataFrame, most: int = HELD) -> list[tuple[bytes, int]]:
+    """At most about ``most`` tokens of ``counts(token, c)`` with their counts, the most frequent ones, in order.
+
+    A histogram of the counts says from which one on tokens fit, so no more than these come to the driver,
+    however many tasks there are; of the tokens at the border some are taken by their hash.
+    """
+    step = counts.withColumn("step", F.floor(8 * F.log2("c")))
+    steps, room = sorted(((r["step"], r["count"]) for r in step.groupBy("step").count().collect()), reverse=True), most
+    least, share = 0, 1000
+    for at, size in steps:
+        if size > room:
+            least, share = at, 1000 * room // size
+            break
+        room -= size
+    inside = (F.col("step") > least) | ((F.col("step") == least) & (F.pmod(F.xxhash64("token"), F.lit(1000)) < share))
+    return sorted(((r["token"].encode(), r["c"]) for r in step.filter(inside).select("token", "c").collect()), key=lambda x: (-x[1], x[0]))
+
+
+def sample_texts(training: DataFrame, rows: int) -> list[str]:
+    """About ``SAMPLE_DOCS`` whole texts of ``training(key, text)``, ``SAMPLE_BYTES`` at most. Keys and sizes are looked at first."""
+    some = training.filter(F.pmod("key", F.lit(max(1, rows // SAMPLE_DOCS))) == 0)
+    sizes, left, chosen = sorted(tuple(r) for r in some.select("key", F.octet_length("text").alias("n")).distinct().collect()), SAMPLE_BYTES, []
+    for key, n in sizes:
+        if n <= left:
+            chosen.append(key)
+            left -= n
+    texts = some.filter(F.col("key").isin(chosen)).dropDuplicates(["key"]).collect() if chosen else []
+    return [r["text"] for r in sorted(texts, key=lambda r: r["key"])]
+
+
 def fit(training: DataFrame, counts: DataFrame, ends: int, scale: float):
     """``training(key, text)``, its token counts -> the broadcast vocabulary, and the model."""
     spark = training.sparkSession
-    top = [(r["token"].encode(), r["c"]) for r in counts.orderBy(F.desc("c"), "token").limit(HELD).collect()]
+    top = most_frequent(counts)
     cut = min(len(top), VOCABULARY - 2)
     order = [*top[:cut], (END, ends), *([] if cut < VOCABULARY - 2 else [(None, 0)]), *top[cut:]]
     order += [(None, 0)] if cut < VOCABULARY - 2 else []
@@ -224,11 +254,7 @@ def fit(training: DataFrame, counts: DataFrame, ends: int, scale: float):
     share[-1] = max(1e-9, 1 - share[:-1].sum())
     held = Vocabulary({w: i for i, (w, _) in enumerate(order) if w is not None}, share / share.sum(), base)
     words = spark.sparkContext.broadcast(held)
-    sample, texts, left = training.orderBy("key", "text").limit(SAMPLE_DOCS).select("text").collect(), [], SAMPLE_TOKENS
-    for r in sample:
-        if left > 0:
-            texts.append(words_of(r["text"])[:left])
-            left -= len(texts[-1]) + 1
+    texts = [words_of(t) for t in sample_texts(training, ends)]
     start = Trainer(Bilinear.start(held.share), held.share)
     if texts:
         ids, starts = held.ids(texts)

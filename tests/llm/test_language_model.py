@@ -68,3 +68,18 @@ def test_nothing(spark):
     assert lm.scores(spark.createDataFrame([], SCHEMA)).collect() == []
     r = lm.scores(spark.createDataFrame([(1, "one two one", 1, "z")], SCHEMA)).collect()[0]
     assert r["n_tokens"] == 4 and math.isfinite(r["score"])
+
+
+def test_what_comes_to_the_driver(spark):
+    """The most frequent tokens, as many as fit, and whole texts of a bounded size."""
+    from tallyspark.llm import language_model as lm
+
+    rows = [(f"w{i}", 1000 // (i + 1) + 1) for i in range(400)]
+    counts = spark.createDataFrame(rows, "token string, c long")
+    assert lm.most_frequent(counts, 1000) == sorted(((w.encode(), c) for w, c in rows), key=lambda x: (-x[1], x[0]))
+    few = lm.most_frequent(counts, 50)
+    assert 20 <= len(few) <= 80 and few[:20] == [(w.encode(), c) for w, c in rows[:20]]
+    assert lm.most_frequent(counts.limit(0)) == []
+    texts = spark.createDataFrame([(i, "a b " * (1_000_000 if i == 7 else 3)) for i in range(50)] + [(3, "a b " * 3)], "key long, text string")
+    sample = lm.sample_texts(texts, 50)
+    assert len(sample) == 49 and max(map(len, sample)) == 12
