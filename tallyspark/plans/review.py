@@ -189,3 +189,11 @@ def review_sorts(spark, d):
         first = b.orderBy(*keys).limit(20).select(F.lit(name).alias("sort"), "o_orderkey", F.row_number().over(Window.orderBy(*keys)).alias("place"))
         out = first if out is None else out.union(first)
     return out
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS amount FROM lineitem), b AS (SELECT *, amount % 1000 AS tail FROM a)
+  SELECT l_orderkey, l_linenumber, amount, CASE WHEN amount >= 1000 AND (tail IN (8, 80, 88, 800, 808, 880, 888, 868, 688) OR (lpad(CAST(tail AS VARCHAR), 3, '0') LIKE '%8%' AND tail < 900)) THEN amount - tail ELSE amount END AS repaired FROM b""")
+def amount_repairs(spark, d):
+    """The last reading of each amount whose zeros may have been misread."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.floor("l_extendedprice").cast("long").alias("amount"))
+    return rows.withColumn("repaired", F.element_at(money.zero_repairs(F.col("amount")), -1))
