@@ -51,18 +51,3 @@ def confidence(terms: list[tuple[Column, float]], base: float = 0.5) -> Column:
 def capped(score: Column, caps: list[tuple[Column, float]]) -> Column:
     limits = F.array_compact(F.array(*[F.when(holds, most) for holds, most in caps]))
     return F.least(score, F.coalesce(F.array_min(limits), F.lit(1.0)))
-
-
-def passes(score: Column, quality: Column, engine: Column, n_issues: Column) -> Column:
-    """Whether a document needs no second look."""
-    return (score >= 0.82) & (quality >= 0.65) & (engine >= 0.82) & (n_issues == 0)
-
-
-def quality_score(text: Column) -> Column:
-    """How much a text looks like a receipt, 0 to 1: length, lines, share of odd signs, and telling patterns."""
-    n = F.length(text)
-    odd = F.length(F.regexp_replace(text, r"[0-9A-Za-z가-힣\s.,:/()₩%-]", "")) / F.greatest(n, F.lit(1))
-    rows = F.size(F.split(text, "\n"))
-    telling = sum((F.when(text.rlike(p), 0.08).otherwise(0.0) for p in (r"[0-9],[0-9]{3}", r"20[0-9]{2}[-./][0-9]{1,2}", r"합계|총|total|Total", r"[0-9]{3}-[0-9]{2}-[0-9]{5}", r"카드|card|Card", r"[0-9]{2}:[0-9]{2}")), F.lit(0.0))
-    total = F.least(n / 400, F.lit(0.3)) + F.least(rows / 40, F.lit(0.2)) + telling - 0.5 * odd
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
