@@ -138,3 +138,8 @@ def page_lines(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("page").applyInPandas(geometry_lines, "page long, line_no long, line string")
 
 
+
+
+def line_before(rows: DataFrame, key: str) -> DataFrame:
+    """Adds before: the line before, null for the first."""
+    return rows.withColumn("before", F.lag("line").over(Window.partitionBy(key).orderBy("line_no")))

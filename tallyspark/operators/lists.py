@@ -69,3 +69,27 @@ def source_context(df: DataFrame) -> DataFrame:
             "expense_title": F.coalesce(text("title"), F.lit("")),
         }
     )
+
+
+def progress(files: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, total, final, percent, blocking, can_complete): final states and those that keep a batch open, unknown ones too."""
+    status = F.col("status")
+    final, open_ = status.isin("CONFIRMED", "NEED_SUPPLEMENT", "FAILED"), ~F.coalesce(status.isin("CONFIRMED", "NEED_SUPPLEMENT", "FAILED", "NORMAL"), F.lit(False))
+    n = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(final).alias("final"), F.count_if(open_).alias("blocking"))
+    percent = F.floor(F.col("final") * 100 / F.col("total") + 0.5)
+    return n.select(*keys, "total", "final", percent.alias("percent"), "blocking", (F.col("blocking") == 0).alias("can_complete"))
+
+
+def dashboards(files: DataFrame, roles: Mapping[str, tuple[Sequence[str] | None, Sequence[str]]]) -> DataFrame:
+    """(role, n, open): ``roles`` gives the states that a role sees (None: all) and those that wait for it. One pass."""
+    status = F.col("status")
+    seen = lambda states: F.count(F.lit(1)) if states is None else F.count_if(status.isin(*states))
+    one = files.agg(F.array(*[F.struct(F.lit(r).alias("role"), seen(s).alias("n"), F.count_if(status.isin(*w)).alias("open")) for r, (s, w) in roles.items()]).alias("_r"))
+    return one.select(F.inline("_r"))
+
+
+def with_preset(fields: DataFrame, preset: DataFrame, advanced: bool = False) -> DataFrame:
+    """``fields(key, own_order)`` with ``preset(key, label, sort_order, advanced)`` over them, in order; advanced ones only if asked."""
+    out = with_names(fields, "key", preset, "key", {"label": "_label", "sort_order": "_order", "advanced": "_advanced"})
+    out = out.select("key", F.coalesce("_label", "key").alias("label"), F.coalesce("_order", "own_order", F.lit(0)).alias("sort_order"), F.coalesce("_advanced", F.lit("N")).alias("advanced"))
+    return (out if advanced else out.filter("advanced <> 'Y'")).orderBy("sort_order", "key")

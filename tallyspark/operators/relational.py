@@ -111,3 +111,13 @@ def mode(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def renumbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "line_no") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def by_code_or_name(words: DataFrame, word: str, types: DataFrame, order: str) -> DataFrame:
+    """One row of ``types(code, name, …)`` for each word, found by code or name: two equi-joins, not one with OR.
+
+    A row found by its code comes after those found by name (``preferred_last``), then by ``order``.
+    """
+    code = words.join(types, F.col(word) == F.col("code"))
+    name = words.join(types, (F.col(word) == F.col("name")) & ~F.col("name").eqNullSafe(F.col("code")))
+    return first_by_key(code.unionByName(name), [word], [(F.col("code") == F.col(word)).cast("int"), F.col(order)])

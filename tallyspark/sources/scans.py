@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import PySparkException
@@ -25,6 +26,26 @@ def jdbc(spark: SparkSession, url: str, query: str, partition: tuple[str, int, i
     return reader.options(dbtable=f"({query}) q", partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts).load()
 
 
+def by_key(df: DataFrame, column: str, value: object) -> DataFrame:
+    """The row of a key, at most one; a null key finds none. The equality reaches the scan."""
+    return df.filter(F.col(column) == F.lit(value)).limit(1)
+
+
+def staged(spark: SparkSession, rows: DataFrame, use: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``use`` makes of the rows under a name of their own, which is gone afterwards. Nothing is stored."""
+    name = f"staged_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(name)
+    try:
+        return use(name)
+    finally:
+        spark.catalog.dropTempView(name)
+
+
+def columns_of(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """(name, place from 1) of a table's columns."""
+    return spark.createDataFrame([(c, i) for i, c in enumerate(df.columns, 1)], "name string, place long")
+
+
 def or_empty(spark: SparkSession, scan: Callable[[], DataFrame], schema: str) -> DataFrame:
     """The scan, or no rows if its source is missing or unreadable when it is planned."""
     try:
