@@ -161,3 +161,61 @@ def category_evidence(spark, d):
 def text_quality(spark, d):
     """Tested against a plain version: the oracle's expressions have no look-around."""
     return table(spark, d, "documents").select("doc_id", checks.text_quality(F.col("text")).alias("quality"))
+
+
+# Names of items for the query below, good ones at 0 and 3.
+NAMES = ("김치찌개", "합계 금액", "AB 12", "비닐봉투")
+_GUARD = f"""{FILES}, it AS (SELECT o_orderkey AS doc, l_linenumber AS line_no, l_partkey, list_extract({list(NAMES)}, 1 + CAST(l_partkey % 4 AS INT)) AS name, l_partkey % 4 IN (1, 2) AS bad, CASE WHEN l_partkey % 10 = 3 THEN 50 WHEN l_partkey % 10 = 4 THEN NULL ELSE 1000 * (1 + l_partkey % 5) END AS amount,
+    CASE WHEN l_partkey % 2 = 0 THEN 2 END AS quantity, CASE WHEN l_partkey % 8 = 0 THEN 500 * (1 + l_partkey % 5) WHEN l_partkey % 16 = 7 THEN 1 END AS unit_price FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 9 <> 4),
+  v0 AS (SELECT doc, sum(amount) AS s FROM (SELECT DISTINCT doc, name, amount FROM it WHERE NOT bad AND amount >= 1000) GROUP BY 1),
+  doc AS (SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 8 = 0 THEN 'HANDWRITTEN' WHEN o_orderkey % 8 = 1 THEN 'TRANSPORT' ELSE 'RECEIPT' END AS kind, CASE WHEN o_orderkey % 6 = 0 THEN '결제' ELSE 'paid' END AS text, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 7 IN (1, 2) THEN 900 WHEN o_orderkey % 7 IN (3, 4) THEN coalesce(s, 5000) ELSE coalesce(s, 0) + 100 END AS total, o_orderkey % 6 AS n_amounts, o_orderkey % 11 = 0 AS money_false FROM orders LEFT JOIN v0 ON v0.doc = o_orderkey)"""
+
+
+@query(f"""WITH {_GUARD}, j AS (SELECT it.*, total, NOT (bad OR coalesce(amount, 0) <= 0 OR (amount < 100 AND name <> '비닐봉투') OR coalesce(amount > greatest(total + 100, total * 1.05), FALSE) OR coalesce(abs(unit_price * coalesce(quantity, 1) - amount) > greatest(10, amount * 0.05), FALSE)) AS ok FROM it JOIN doc ON doc.doc = it.doc),
+  u AS (SELECT doc, name, amount, min((line_no, name)) AS first FROM j WHERE ok GROUP BY 1, 2, 3), a AS (SELECT doc, count(*) AS n, sum(amount) AS s, min(first)[2] AS head FROM u GROUP BY 1), r AS (SELECT doc, count(*) AS rejected FROM j WHERE NOT ok GROUP BY 1),
+  w AS (SELECT doc.*, coalesce(n, 0) AS n, s, head, coalesce(rejected, 0) AS rejected, CASE WHEN kind = 'HANDWRITTEN' THEN 'HANDWRITTEN_REVIEW_ONLY' WHEN kind = 'TRANSPORT' THEN NULL WHEN n > 0 AND s <> total THEN 'UNCONFIRMED_SUM_MISMATCH' WHEN n_amounts >= 5 AND coalesce(n, 0) <= 1 THEN 'UNCONFIRMED_TOO_FEW_ITEMS' WHEN n > 0 THEN 'CONFIRMED' WHEN rejected > 0 THEN 'UNCONFIRMED_ALL_REJECTED' END AS state
+    FROM doc LEFT JOIN a ON a.doc = doc.doc LEFT JOIN r ON r.doc = doc.doc),
+  x AS (SELECT *, (state IS NULL AND kind <> 'TRANSPORT') OR coalesce(state IN ('CONFIRMED', 'UNCONFIRMED_ALL_REJECTED'), FALSE) AS goes_on FROM w), y AS (SELECT *, coalesce(goes_on AND total < 1000 AND text = '결제', FALSE) AS odd, coalesce(kind = 'HANDWRITTEN' AND total < 1000, FALSE) AS lost FROM x)
+  SELECT doc, state, CASE WHEN state = 'CONFIRMED' THEN n ELSE 0 END AS confirmed, rejected, CAST(s AS DOUBLE) AS item_sum, CAST(CASE WHEN NOT odd AND NOT lost THEN total END AS DOUBLE) AS total, CAST(CASE WHEN lost THEN total * 1000 END AS DOUBLE) AS estimated_total, CAST(CASE WHEN odd THEN total END AS DOUBLE) AS suspicious_total,
+    CAST(least(1, CASE WHEN kind = 'HANDWRITTEN' THEN CASE WHEN total IS NULL OR lost THEN 0.25 ELSE 0.35 END END, CASE WHEN state = 'UNCONFIRMED_SUM_MISMATCH' THEN CASE WHEN abs(s - total) / greatest(total, 1) >= 0.1 THEN 0.55 ELSE 0.68 END END, CASE state WHEN 'UNCONFIRMED_TOO_FEW_ITEMS' THEN 0.45 WHEN 'UNCONFIRMED_ALL_REJECTED' THEN 0.3 END, CASE WHEN odd THEN 0.25 END, CASE WHEN goes_on AND money_false THEN 0.3 END) AS DOUBLE) AS cap,
+    CASE WHEN kind = 'HANDWRITTEN' THEN '수기 영수증 검토 필요' WHEN state = 'CONFIRMED' THEN CASE WHEN n = 1 THEN head ELSE head || ' 외 ' || (n - 1) || '건' END WHEN state IS NOT NULL THEN '상세 품목 검토 필요' END AS description FROM y""")
+def guarded_documents(spark, d):
+    """What stays confirmed of documents whose totals may or may not agree with their items."""
+    from ..operators import guards
+
+    k, o = F.col("l_partkey"), F.col("o_orderkey")
+    name = F.element_at(F.array(*[F.lit(x) for x in NAMES]), (k % 4 + 1).cast("int"))
+    whole = ((k % 5 + 1) * 1000).cast("double")
+    items = table(spark, d, "lineitem").filter(F.col("l_orderkey") % 9 != 4).select(
+        F.col("l_orderkey").alias("doc"),
+        F.col("l_linenumber").alias("line_no"),
+        name.alias("name"),
+        F.when(k % 10 == 3, 50.0).when(k % 10 == 4, None).otherwise(whole).alias("amount"),
+        F.when(k % 2 == 0, 2.0).alias("quantity"),
+        F.when(k % 8 == 0, whole / 2).when(k % 16 == 7, 1.0).alias("unit_price"),
+    )
+    sums = items.filter(F.col("name").isin(NAMES[0], NAMES[3]) & (F.col("amount") >= 1000)).select("doc", "name", "amount").distinct().groupBy("doc").agg(F.sum("amount").alias("s"))
+    docs = table(spark, d, "orders").select(o.alias("doc")).join(sums, "doc", "left")
+    o = F.col("doc")
+    m = o % 7
+    docs = docs.select(
+        "doc",
+        F.when(o % 8 == 0, "HANDWRITTEN").when(o % 8 == 1, "TRANSPORT").otherwise("RECEIPT").alias("document_type"),
+        F.when(o % 6 == 0, "결제").otherwise("paid").alias("text"),
+        F.when(m == 0, None).when(m.isin(1, 2), 900.0).when(m.isin(3, 4), F.coalesce("s", F.lit(5000.0))).otherwise(F.coalesce("s", F.lit(0.0)) + 100).alias("total"),
+        F.lit(None).cast("double").alias("sale_total"),
+        F.lit(None).cast("double").alias("discount"),
+        (o % 6).alias("n_amounts"),
+        (o % 11 == 0).alias("money_false"),
+        F.lit(None).cast("double").alias("cap"),
+    )
+    return guards.guarded(docs, items, "doc")
+
+
+@query(None)
+def likely_dates(spark, d):
+    """Tested against written examples: no SQL of the oracle gives all places of a pattern."""
+    from ..operators import guards
+    from .base import AS_OF
+
+    return table(spark, d, "documents").select("doc_id", guards.likely_date(F.col("text"), AS_OF).alias("day"))
