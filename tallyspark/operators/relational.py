@@ -65,9 +65,9 @@ def nested(parents: DataFrame, children: DataFrame, on: str, fields: Sequence[st
 
 
 def lookup(df: DataFrame, table: DataFrame, code: Column, name: Column, fallback: Column) -> DataFrame:
-    """``table(code, name, value)``, small and fixed: by code, else by name, else the fallback, as column value."""
-    by_code = F.broadcast(table.select(F.upper("code").alias("_c"), F.col("value").alias("_v1")))
-    by_name = F.broadcast(table.groupBy(F.col("name").alias("_n")).agg(F.min("value").alias("_v2")))
+    """``table(code, name, value)``, one row a code: by code, else by name, else the fallback, as column value."""
+    by_code = table.select(F.upper("code").alias("_c"), F.col("value").alias("_v1"))
+    by_name = table.groupBy(F.col("name").alias("_n")).agg(F.min("value").alias("_v2"))
     out = df.join(by_code, F.upper(code) == F.col("_c"), "left").join(by_name, name == F.col("_n"), "left")
     return out.withColumn("value", F.coalesce("_v1", "_v2", fallback)).drop("_c", "_n", "_v1", "_v2")
 

@@ -16,8 +16,8 @@ def ready(files: DataFrame, batch: str) -> DataFrame:
 
 
 def single_cells(heads: DataFrame, mappings: DataFrame) -> DataFrame:
-    """``heads(document, field_key, value)`` x SINGLE ``mappings(field_key, sheet, row, col)`` -> cells. Templates are small."""
-    return heads.join(F.broadcast(mappings), "field_key").select("document", "sheet", "row", "col", "value")
+    """``heads(document, field_key, value)`` x SINGLE ``mappings(field_key, sheet, row, col)`` -> cells. Whether the mappings are broadcast is decided by their size."""
+    return heads.join(mappings, "field_key").select("document", "sheet", "row", "col", "value")
 
 
 def repeat_cells(details: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def repeat_cells(details: DataFrame, mappings: DataFrame) -> DataFrame:
     """
     room = F.min("max_rows").over(Window.partitionBy("sheet", "start_row"))
     fitted = mappings.withColumn("_room", room)
-    joined = details.join(F.broadcast(fitted), "field_key").filter(F.col("line_no") <= F.col("_room"))
+    joined = details.join(fitted, "field_key").filter(F.col("line_no") <= F.col("_room"))
     return joined.select("document", "sheet", (F.col("start_row") + F.col("line_no") - 1).alias("row"), column_number(F.col("column_letter")).alias("col"), "value")
 
 

@@ -6,9 +6,11 @@ import time
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 RECEIPT_KINDS = ("jpg", "jpeg", "png", "webp", "pdf")
 
@@ -59,7 +61,10 @@ def json_rules(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+    """Rows written in code. They come as an Arrow table, so that the plan knows their size and joins can go by it."""
+    names = StructType.fromDDL(schema).names
+    columns = {name: [row[i] for row in rows] for i, name in enumerate(names)}
+    return spark.createDataFrame(pa.table(columns), schema)
 
 
 def files(spark: SparkSession, path: str, kinds: tuple[str, ...] = RECEIPT_KINDS, most_bytes: int = 20 << 20) -> DataFrame:
