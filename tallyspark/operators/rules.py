@@ -53,16 +53,35 @@ def rule_score() -> Column:
     return base + F.least(F.lit(40), 6 * F.length(rule_key(F.col("keyword")))) + F.greatest(F.lit(0.0), F.lit(25) - 0.15 * F.coalesce("priority", F.lit(100)))
 
 
-def scored(docs: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
-    """(key, code, score, hits): what the rules of each code add up to. Few rules go to every task, many are joined by Spark's choice."""
-    pointed = screened(rules).withColumn("_points", rule_score())
-    pointed = F.broadcast(pointed) if rules.count() <= MOST_RULES else pointed
+def _hits(docs: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
+    """Each document with each rule that fits it. Few rules go to every task, many are joined by Spark's choice."""
+    sent = F.broadcast(rules) if rules.count() <= MOST_RULES else rules
     # a text's key is made once, not once a rule
     keyed = docs.select(key, text, rule_key(F.col(text)).alias("_key"), F.lower(F.col(text)).alias("_lower"))
-    hit = keyed.join(pointed, matches(F.col(text), F.col("_key"), F.col("_lower")))
+    return keyed.join(sent, matches(F.col(text), F.col("_key"), F.col("_lower")))
+
+
+def scored(docs: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
+    """(key, code, score, hits): what the rules of each code add up to."""
+    hit = _hits(docs, key, text, screened(rules).withColumn("_points", rule_score()))
     return hit.groupBy(key, "code").agg(F.sum("_points").alias("score"), F.count(F.lit(1)).alias("hits"))
 
 
+def document_types(docs: DataFrame, key: str, text: str, requested: Column, rules: DataFrame, by_hand: Column, transport: Column, least: int = 20) -> DataFrame:
+    """(key, document_type): the type asked for, unless it is a plain receipt or blank; else by hand, transport, rules, receipt.
+
+    ``rules(keyword, match_type, code, score, place)``: a null or zero score counts 10; the type whose rules add up to
+    the most wins from ``least`` on, the one with the first rule of equals. ``key`` is unique. Null texts fit no rule.
+    """
+    usual = screened(rules.filter(F.trim("keyword") != "")).withColumn("_points", F.coalesce(F.nullif(F.col("score"), F.lit(0)), F.lit(10)))
+    sums = _hits(docs, key, text, usual).groupBy(key, F.upper("code").alias("code")).agg(F.sum("_points").alias("points"), F.min("place").alias("place")).filter("code <> ''")
+    best = sums.groupBy(key).agg(F.max_by("code", F.struct("points", -F.col("place"))).alias("_code"), F.max("points").alias("_most"))
+    asked = F.upper(F.trim(requested))
+    asked = F.when(~asked.isin("", "RECEIPT", "영수증"), asked)
+    facts = docs.select(key, asked.alias("_asked"), F.when(by_hand, "HANDWRITTEN_FORM_RECEIPT").when(transport, "TRANSPORT_RECEIPT").alias("_seen"))
+    return facts.join(best, key, "left").select(key, F.coalesce("_asked", "_seen", F.when(F.col("_most") >= least, F.col("_code")), F.lit("RECEIPT")).alias("document_type"))
+
+
 def clear_winner(scores: DataFrame, key: str, least: float = 55, gap: float = 20) -> DataFrame:
     """(key, code, score): the best code if it scores enough and leads the next one by enough. Ties by code."""
     best = Window.partitionBy(key).orderBy(F.desc("score"), "code")

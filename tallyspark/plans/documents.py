@@ -93,3 +93,19 @@ def conversation_turns(spark, d):
 def labelled_flag(spark, d):
     l = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")  # noqa: E741
     return table(spark, d, "documents").join(l, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.col("id").isNotNull().cast("int").alias("labelled"))
+
+
+# Rules for the query below.
+TYPES = [("the ", "CONTAINS", "LETTER", 10, 1), ("ing ", "CONTAINS", "LETTER", None, 2), ("une ", "FUZZY", "FACTURE", 0, 3), ("eau", "CONTAINS", "FACTURE", 15, 4), ("und ", "CONTAINS", "BRIEF", 25, 5), ("ción", "CONTAINS", "carta", 19, 6), ("", "CONTAINS", "NONE", 99, 7)]
+
+
+@query("""WITH r(keyword, code, points, place) AS (VALUES ('the ', 'LETTER', 10, 1), ('ing ', 'LETTER', 10, 2), ('une ', 'FACTURE', 10, 3), ('eau', 'FACTURE', 15, 4), ('und ', 'BRIEF', 25, 5), ('ción', 'CARTA', 19, 6)),
+  t AS (SELECT doc_id, lower(text) AS low, regexp_replace(lower(trim(coalesce(text, ''))), '[\\s[:punct:]·ㆍ]+', '', 'g') AS c FROM documents), s AS (SELECT doc_id, code, sum(points) AS points, min(place) AS place FROM t JOIN r ON contains(c, trim(keyword)) OR contains(low, keyword) GROUP BY 1, 2),
+  b AS (SELECT doc_id, code, points, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, place) AS k FROM s)
+  SELECT d.doc_id, CASE WHEN d.doc_id % 10 = 0 THEN 'INVOICE' WHEN d.doc_id % 10 = 1 AND contains(text, '@') THEN 'HANDWRITTEN_FORM_RECEIPT' WHEN d.doc_id % 10 = 2 THEN 'TRANSPORT_RECEIPT' WHEN points >= 20 THEN code ELSE 'RECEIPT' END AS document_type FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND k = 1""")
+def document_types(spark, d):
+    """Every text's type: asked for, seen, or by rules."""
+    r = inline(spark, TYPES, "keyword string, match_type string, code string, score int, place int")
+    k = F.col("doc_id") % 10
+    asked = F.when(k == 0, " invoice ").when(k == 3, "receipt").when(k == 4, "")
+    return rules.document_types(table(spark, d, "documents"), "doc_id", "text", asked, r, (k == 1) & F.contains("text", F.lit("@")), k == 2)

@@ -184,3 +184,13 @@ def test_intake(spark, tmp_path):
 @pytest.mark.parametrize("size,expected", [(1, 5), (500, 100)])
 def test_page_size_is_kept_in_bounds(spark, size, expected):
     assert relational.page(spark.range(300), [F.col("id")], 0, size).count() == expected
+
+
+def test_document_types_at_the_edges(spark):
+    from tallyspark.operators import rules
+
+    kinds = spark.createDataFrame([("a", "CONTAINS", "X", 20, 1), ("b", "CONTAINS", "Y", 20, 0), ("c", "EXACT", "z", 19, 2), ("d", "REGEX", "", 99, 3)], "keyword string, match_type string, code string, score int, place int")
+    docs = spark.createDataFrame([(1, "a b", None), (2, "c", None), (3, None, "영수증"), (4, "", " slip "), (5, "a", "RECEIPT"), (6, "d", None)], "k int, text string, asked string")
+    out = rules.document_types(docs, "k", "text", F.col("asked"), kinds, F.lit(False), F.lit(None).cast("boolean"))
+    assert {r.k: r.document_type for r in out.collect()} == {1: "Y", 2: "RECEIPT", 3: "RECEIPT", 4: "SLIP", 5: "X", 6: "RECEIPT"}
+    assert rules.document_types(docs, "k", "text", F.col("asked"), kinds.limit(0), F.lit(True), F.lit(False)).filter("document_type = 'HANDWRITTEN_FORM_RECEIPT'").count() == 5
