@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_model, lines, mixing, pii, quality, simhash, suffixes, topk, toxicity
+from . import codes, decontaminate, filters, language_model, lines, mixing, packing, pii, quality, simhash, suffixes, topk, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +52,19 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_personal_data, op3_simhash_near_duplicates, op4_language_model, op5_suffix_array_dedup, op6_exact_top_k, op7_line_dedup, op8_benchmark_decontamination, op9_toxic_spans, op10_source_mixing)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_personal_data, op3_simhash_near_duplicates, op4_language_model, op5_suffix_array_dedup, op6_exact_top_k, op7_line_dedup, op8_benchmark_decontamination, op9_toxic_spans, op10_source_mixing, op11_vector_codes, op12_filter_audit, op13_packing)}
 
 OP6_SQL = """
 WITH v AS (
@@ -95,4 +107,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN cover USING (k) LEFT JOIN names USING (k)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_exact_top_k": OP6_SQL, "op8_benchmark_decontamination": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_exact_top_k": OP6_SQL, "op8_benchmark_decontamination": OP8_SQL, "op11_vector_codes": codes.oracle(), "op12_filter_audit": filters.ORACLE}
