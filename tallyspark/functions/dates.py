@@ -8,20 +8,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _date(text: Column, pattern: str, century: str = "") -> Column:
-    part = lambda k: F.regexp_extract(text, pattern, k)
-    whole = F.concat(F.lit(century), part(1), F.lit("-"), F.lpad(part(2), 2, "0"), F.lit("-"), F.lpad(part(3), 2, "0"))
-    return F.when(text.rlike(pattern), F.try_to_date(whole, "yyyy-MM-dd"))
+# Shapes of dates, tried in this order; the first that a text has decides, even if there is no such day.
+DATE_SHAPES = (
+    r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})",
+    r"([0-9]{2,4})[./년\-\s]([0-9]{1,2})[./월\-\s]([0-9]{1,2})",
+    r"(?<![0-9A-Za-z_])([0-9]{4})([0-9]{2})([0-9]{2})(?![0-9A-Za-z_])",
+    r"(?<![0-9A-Za-z_])([0-9]{2})([0-9]{2})([0-9]{2})(?![0-9A-Za-z_])",
+)
 
 
 def date_only(text: Column) -> Column:
-    """The first of four shapes that the text has: yyyy-m-d, yyyymmdd, y년 m월 d일, yy-m-d (20yy). No such day: null."""
-    return F.coalesce(
-        _date(text, r"([0-9]{4})[-./]([0-9]{1,2})[-./]([0-9]{1,2})"),
-        _date(text, r"(?<![0-9])([0-9]{4})([0-9]{2})([0-9]{2})(?![0-9])"),
-        _date(text, r"([0-9]{4})년\s*([0-9]{1,2})월\s*([0-9]{1,2})일"),
-        _date(text, r"(?<![0-9])([0-9]{2})[-./]([0-9]{1,2})[-./]([0-9]{1,2})(?![0-9])", "20"),
-    )
+    """The day of the first of ``DATE_SHAPES`` that the text has; years of two digits are of this century. No such day: null."""
+    text, out = F.trim(text), None
+    for shape in DATE_SHAPES:
+        year, month, day = (F.regexp_extract(text, shape, k) for k in (1, 2, 3))
+        year = F.when(year.try_cast("int") < 100, F.concat(F.lit("20"), F.lpad(year.try_cast("int").cast("string"), 2, "0"))).otherwise(F.lpad(year, 4, "0"))
+        whole = F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+        out = F.when(text.rlike(shape), whole) if out is None else out.when(text.rlike(shape), whole)
+    return out
 
 
 def settlement_due(day: Column) -> Column:
@@ -59,9 +63,9 @@ def representative_day(first: Column, last: Column, as_of: dt.date) -> Column:
     return F.when(sound(first), first).when(sound(last), last).otherwise(F.coalesce(first, last))
 
 
-def chosen_deadline(manual: Column, expense_day: Column, expense_state: Column, uploaded: Column) -> Column:
-    """A deadline set by hand, or from a sound expense date, or from the upload."""
-    return F.coalesce(manual, settlement_due(F.when(expense_state == "NORMAL", expense_day)), settlement_due(uploaded))
+def chosen_deadline(manual: Column, expense_day: Column, expense_state: Column, uploaded: Column, as_of: dt.date) -> Column:
+    """A deadline set by hand, or from a sound expense date, or from the upload; without an upload from today."""
+    return F.coalesce(manual, settlement_due(F.when(expense_state == "NORMAL", expense_day)), settlement_due(F.coalesce(uploaded, F.lit(as_of))))
 
 
 def period(day: Column, grain: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first_present
+from .text import first_present, vendor_key
 
 # What a vendor's name never holds.
 NO_VENDOR = (
@@ -32,7 +32,7 @@ MESSAGES = {"QUEUED": "AI 처리 대기 중입니다.", "UPLOADED": "업로드 
 def bad_vendor(name: Column) -> Column:
     """Whether a text can't be a vendor: too short or long, settlement words, products, numbers, addresses. Null: true."""
     text = F.trim(F.coalesce(name, F.lit("")))
-    key = F.regexp_replace(F.regexp_replace(F.lower(text), r"㈜|\(주\)|주식회사", ""), r"[\s\"'‘’“”_\-.,()\[\]{}:/\\|*×]+", "")
+    key = vendor_key(text)
     tests = [
         (F.length(key) < 2) | (F.length(key) > 40),
         *[text.rlike("(?i)" + p) for p in NO_VENDOR],

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Category codes, their names, and other codes for them.
 CATEGORY_NAMES = {"MEAL": "식비", "TRANSPORT": "교통비", "LODGING": "숙박비", "SUPPLIES": "소모품비", "FUEL": "유류비", "COMMUNICATION": "통신비", "MATERIAL": "자재비", "ETC": "기타"}
 CATEGORY_ALIASES = {"FOOD": "MEAL", "TRAFFIC": "TRANSPORT", "TRAVEL": "TRANSPORT"}
+# Marks that don't count when rules and vendors are compared; other signs, such as + and &, do.
+RULE_MARKS = r"(?U)[\s\x1C-\x1F\"'‘’“”_\-.,()\[\]{}:/\\|*×]+"
 NULL_WORDS = ("none", "null", "undefined", "nan")
 
 
@@ -19,13 +21,13 @@ def compact(text: Column) -> Column:
 
 
 def rule_key(text: Column) -> Column:
-    """Lower case without white space and punctuation: what rules are compared by. Null: empty."""
-    return F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"[\s\p{Punct}·ㆍ]+", "")
+    """Lower case without white space and the marks of ``RULE_MARKS``: what rules are compared by. Null: empty."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), RULE_MARKS, "")
 
 
 def vendor_key(text: Column) -> Column:
     """``rule_key`` less the marks of a company."""
-    return rule_key(F.regexp_replace(text, r"㈜|\(주\)|주식회사", ""))
+    return rule_key(F.regexp_replace(F.lower(text), r"㈜|\(주\)|주식회사", ""))
 
 
 def field_key(text: Column) -> Column:
@@ -95,6 +97,24 @@ def field_group(key: Column) -> Column:
     return out.otherwise("ETC")
 
 
+# Words of meals, of a register's receipt, and of restaurants.
+MEAL_WORDS = (
+    "피자", "파스타", "감바스", "샐러드", "버거", "샌드", "샌드위치", "베이커리", "빵",
+    "갈비", "프렌치랙", "양갈비", "삼겹", "고기", "김치", "전", "마늘밥", "밥", "국밥",
+    "우동", "라멘", "면", "찌개", "탕", "커피", "라떼", "아메리카노", "카페",
+    "소주", "맥주", "참이슬", "하이볼", "와인", "막걸리", "코젤", "음료", "주류",
+)
+REGISTER_WORDS = "상품명|메뉴|테이블|홀|단가|수량|금액|판매시간|매출일"
+RESTAURANT_WORDS = "식당|분식|전집|카페|커피|베이커리|파리바게|치킨|피자|고기|갈비"
+
+
+def meal_receipt(text: Column) -> Column:
+    """Two words of meals, or one beside a word of a register or a restaurant. Null: false."""
+    c = compact(F.coalesce(text, F.lit("")))
+    hits = sum((F.contains(c, F.lit(w)).cast("int") for w in MEAL_WORDS), F.lit(0))
+    return (hits >= 2) | ((hits >= 1) & c.rlike(f"{REGISTER_WORDS}|{RESTAURANT_WORDS}"))
+
+
 def file_name(text: Column, most: int = 50) -> Column:
     return F.substring(F.regexp_replace(text, r"[^\w가-힣-]", "_"), 1, most)
 

@@ -1,10 +1,7 @@
-"""Documents as lines: labels and the amounts near them, sections, blocks, items, and the choice of items by their total."""
+"""Documents as lines: labels and the amounts near them, sections, blocks, and lines from the places of words."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -52,73 +49,6 @@ def amounts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, found.alias("amounts")).select(key, "amounts", F.array_max("amounts").alias("most"), F.size("amounts").alias("n"))
 
 
-def items_of(text: str | None) -> list[tuple[str, float | None, float | None, float]]:
-    """(name, unit price, quantity, amount) of the lines of a receipt.
-
-    Three shapes: name unit qty amount, where unit and quantity may be written as one; name qty amount; and a name
-    alone, followed by a line of numbers.
-    """
-    import re
-
-    money = r"[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+"
-    number = lambda x: float(x.replace(",", ""))
-    found, waiting = [], None
-    for line in (text or "").split("\n"):
-        line = line.strip()
-        if waiting and (m := re.fullmatch(rf"({money})\s+([0-9]{{1,2}})\s*개?\s+(?:0\s+)?({money})", line)):
-            found.append((waiting, number(m[1]), number(m[2]), number(m[3])))
-            waiting = None
-        elif m := re.fullmatch(rf"(.*?[^\W\d].*?)\s+([0-9]{{1,3}}(?:,[0-9]{{3}})+)\s*([0-9]{{1,2}})\s+({money})", line):
-            name, unit, quantity, amount = m[1], number(m[2]), number(m[3]), number(m[4])
-            found.append((name.strip(), unit, quantity, amount))
-            waiting = None
-        elif m := re.fullmatch(rf"(.*?[^\W\d].*?)\s+([0-9]{{1,2}})\s+([0-9]{{1,3}}(?:,[0-9]{{3}})+)", line):
-            found.append((m[1].strip(), number(m[3]) / max(1.0, number(m[2])), number(m[2]), number(m[3])))
-            waiting = None
-        else:
-            waiting = line if re.search(r"[^\W\d]", line) and not re.search(r"[0-9],[0-9]{3}", line) else None
-    return found
-
-
-def items(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line_no, item, unit_price, quantity, amount) read from whole texts."""
-
-    @F.pandas_udf("array<struct<item:string,unit_price:double,quantity:double,amount:double>>")
-    def read(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("item", "unit_price", "quantity", "amount"), x)) for x in items_of(t)] for t in texts])
-
-    return docs.select(key, F.posexplode(read(F.col(text))).alias("line_no", "x")).select(key, (F.col("line_no") + 1).alias("line_no"), "x.*")
-
-
-def best_subset(amounts: Sequence[float], total: float, most: int = 16) -> tuple[list[int], float]:
-    """The items whose sum is nearest to the total; then more items, then the earlier ones. ``most`` items are looked at."""
-    n = min(len(amounts), most)
-    if not n:
-        return [], abs(total)
-    bits = (np.arange(1, 1 << n)[:, None] >> np.arange(n)) & 1
-    off = np.abs(bits @ np.asarray(amounts[:n], float) - total)
-    order = np.lexsort((np.arange(len(bits)), -bits.sum(axis=1), off))
-    return [i for i in range(n) if bits[order[0], i]], float(off[order[0]])
-
-
-def selected_items(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
-    """Adds selected and off: whether an item is in the subset nearest to its document's total, and how far that is."""
-
-    @F.pandas_udf("struct<chosen:array<int>,off:double>")
-    def choose(lists: pd.Series, goals: pd.Series) -> pd.DataFrame:
-        out = [best_subset([float(x) for x in a], float(t)) for a, t in zip(lists, goals)]
-        return pd.DataFrame({"chosen": [c for c, _ in out], "off": [o for _, o in out]})
-
-    lists = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("line_no", "amount"))).alias("_i"))
-    chosen = lists.join(totals.select(key, "total"), key).withColumn("_c", choose(F.col("_i.amount"), F.col("total")))
-    picked = chosen.select(key, F.col("_c.off").alias("off"), F.posexplode("_i").alias("_p", "_x"), F.col("_c.chosen").alias("_ch")).select(key, F.col("_x.line_no").alias("line_no"), "off", F.array_contains("_ch", F.col("_p")).alias("selected"))
-    return rows.join(picked, [key, "line_no"], "left")
-
-
-def is_subset_near(off: Column, total: Column) -> Column:
-    return off <= F.greatest(F.lit(10.0), total * 0.03)
-
-
 def geometry_lines(tokens: pd.DataFrame) -> pd.DataFrame:
     """One page's tokens (x, cy, h, word) -> lines: tokens whose centres are within max(10, .65 median height), left to right."""
     if tokens.empty:
@@ -139,7 +69,6 @@ def page_lines(tokens: DataFrame) -> DataFrame:
 
 
 
-
 def line_before(rows: DataFrame, key: str) -> DataFrame:
     """Adds before: the line before, null for the first."""
     return rows.withColumn("before", F.lag("line").over(Window.partitionBy(key).orderBy("line_no")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -158,7 +160,7 @@ def batch_rows(spark, d):
     b = counts(spark, d).join(dated, F.col("batch_id") == F.col("o_orderkey"), "left").join(uploaded, "o_orderkey")
     b = b.withColumns({"score": money.percent(F.col("mean"), bounded=False), "status": review.shown_state({k: F.col(k) for k in NAMES}), "expense_day": dates.representative_day(F.col("first_day"), F.col("last_day"), AS_OF)})
     state = dates.expense_date_status(F.col("expense_day").cast("string"), F.col("expense_day"), AS_OF)
-    chosen = dates.chosen_deadline(F.lit(None).cast("date"), F.col("expense_day"), state, F.col("uploaded"))
+    chosen = dates.chosen_deadline(F.lit(None).cast("date"), F.col("expense_day"), state, F.col("uploaded"), AS_OF)
     b = b.withColumn("due", F.when(F.col("o_orderkey") % 11 != 0, chosen)).withColumn("deadline", dates.deadline_status(F.col("due"), AS_OF))
     asked = [F.col(c) for c in ("deadline", "status", "score", "failed", "supplement")]
     return b.withColumns({"rank": review.urgency_rank(*asked), "reason": review.urgency_reason(*asked), "label": dates.deadline_label(F.col("due"), AS_OF), "issues": review.issue_count(F.lit(None).cast("long"), [F.col("review"), F.col("supplement"), F.col("failed")], F.col("status"))})
@@ -197,3 +199,24 @@ def amount_repairs(spark, d):
     """The last reading of each amount whose zeros may have been misread."""
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.floor("l_extendedprice").cast("long").alias("amount"))
     return rows.withColumn("repaired", F.element_at(money.zero_repairs(F.col("amount")), -1))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 12 AS k, CAST(o_orderdate AS DATE) AS day FROM orders)
+  SELECT o_orderkey, CASE WHEN k IN (1, 5, 7, 11) THEN NULL WHEN k = 10 THEN TRY_CAST('0123-' || strftime(day, '%m-%d') AS DATE) WHEN k IN (3, 8) THEN make_date(2000 + year(day) % 100, month(day), day(day)) ELSE day END AS day FROM o""")
+def read_dates(spark, d):
+    """Days in all the shapes that they are written in, and in some that are none."""
+    k, day = F.col("o_orderkey") % 12, F.col("o_orderdate")
+    shapes = ["yyyy-MM-dd HH:mm", "yyyy-13-dd", "yyyy.M.d", "'on 'yy/MM/dd", "yyyy'년'M'월'd'일'", "yyyy'년 'M'월 'd'일'", "'no. 'yyyyMMdd", "'x'yyyyMMdd", "yyMMdd", "yyyy M d", "'123.'M.d"]
+    text = F.coalesce(*[F.when(k == i, F.date_format(day, s)) for i, s in enumerate(shapes)], F.lit(" "))
+    return table(spark, d, "orders").select("o_orderkey", dates.date_only(text).alias("day"))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 7 = 0 THEN make_date(2001, 9, 9) END AS manual, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate AS DATE) + 40 END AS up FROM orders),
+  c AS (SELECT *, CASE WHEN abs(year(day) - {AS_OF.year}) <= 1 AND datediff('day', {DAY}, day) BETWEEN -365 AND 1 THEN day ELSE coalesce(up, {DAY}) END AS base FROM o)
+  SELECT o_orderkey, coalesce(manual, CAST(date_trunc('month', base) + INTERVAL 1 MONTH AS DATE) + 4) AS due FROM c""")
+def deadline_choice(spark, d):
+    """Deadlines by hand, by a sound expense date, by the upload, or by today."""
+    day = F.to_date("o_orderdate")
+    manual, up = F.when(F.col("o_orderkey") % 7 == 0, F.lit(dt.date(2001, 9, 9))), F.when(F.col("o_orderkey") % 3 > 0, F.date_add(day, 40))
+    state = dates.expense_date_status(day.cast("string"), day, AS_OF)
+    return table(spark, d, "orders").select("o_orderkey", dates.chosen_deadline(manual, day, state, up, AS_OF).alias("due"))

@@ -29,8 +29,8 @@ def test_money(spark):
 
 
 def test_dates(spark):
-    rows = [("2024-1-5",), ("20240105",), ("2024년 1월 5일",), ("24.1.5",), ("2024-13-01",), ("",), (None,)]
-    assert [r[0] for r in values(spark, rows, "x string", dates.date_only(F.col("x")))] == [dt.date(2024, 1, 5)] * 4 + [None] * 3
+    rows = [("2024-1-5",), ("20240105",), ("2024년1월5일",), ("24.1.5",), ("no 240105",), ("2024 1 5",), ("at 24/1/5 7",), ("2024년 1월 5일",), ("2024-13-01",), ("2024-02-30 20240105",), ("x240105",), ("",), (None,)]
+    assert [r[0] for r in values(spark, rows, "x string", dates.date_only(F.col("x")))] == [dt.date(2024, 1, 5)] * 7 + [None] * 6
     assert values(spark, [(dt.date(2024, 1, 31),), (None,)], "d date", dates.settlement_due(F.col("d"))) == [(dt.date(2024, 2, 5),), (None,)]
     states = values(spark, [("", None), ("x", None), ("x", DAY.replace(year=2010)), ("x", DAY + dt.timedelta(2)), ("x", DAY - dt.timedelta(370)), ("x", DAY)], "r string, d date", dates.expense_date_status(F.col("r"), F.col("d"), DAY))
     assert [s for (s,) in states] == ["MISSING", "SUSPICIOUS", "TOO_FAR_YEAR", "FUTURE_DATE", "TOO_OLD", "NORMAL"]
@@ -117,6 +117,46 @@ def test_rules(spark):
     assert found == [("스타벅스", "DICTIONARY"), ("스타벅스", "CONTAINS"), ("Starbucks", "FUZZY"), ("qq", "RAW"), (None, "RAW")]
 
 
+def test_keys_keep_signs_that_tell_rules_apart(spark):
+    rows = [("C++ 17",), ("1+1",), ("R&D",), ("A×B",), (" 'a' “b” (c)[d]{e}:/|*_-.,",), ("\u3000a\u00a0b",), (None,)]
+    assert values(spark, rows, "x string", text.rule_key(F.col("x"))) == [("c++17",), ("1+1",), ("r&d",), ("ab",), ("abcde",), ("ab",), ("",)]
+    assert values(spark, [("(주) A㈜B",), ("주식회사 C+",)], "x string", text.vendor_key(F.col("x"))) == [("ab",), ("c+",)]
+    docs = spark.createDataFrame([(1, "11"), (2, "1 + 1"), (3, "an R&D unit"), (4, "rd")], "id int, text string")
+    r = spark.createDataFrame([("1+1", "EXACT", "A", 1), ("R&D", "CONTAINS", "B", 1)], "keyword string, match_type string, code string, priority int")
+    assert sorted((x["id"], x["code"]) for x in rules.scored(docs, "id", "text", r).collect()) == [(2, "A"), (3, "B")]
+
+
+def test_a_hundred_thousand_rules_are_searched_in_one_pass(spark):
+    r = spark.range(100_001).select(F.concat(F.lit("word"), "id", F.lit("x")).alias("keyword"), F.lit("CONTAINS").alias("match_type"), (F.col("id") % 7).cast("string").alias("code"), F.lit(1).alias("priority"))
+    docs = spark.range(500).select("id", F.concat(F.lit("a WORD"), F.col("id") * 200, F.lit("X and word5x.")).alias("text"))
+    out = rules.scored(docs, "id", "text", r)
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(x["id"], x["code"]): x["hits"] for x in out.collect()}
+    want = {}
+    for i in range(500):
+        for n in (i * 200, 5):
+            want[i, str(n % 7)] = want.get((i, str(n % 7)), 0) + 1
+    assert got == want
+
+
+def test_corrections_see_each_other(spark):
+    r = spark.createDataFrame([(2, "OCR_TEXT", "b", "c", "CONTAINS", 1, "APPROVED", "Y"), (1, "OCR_TEXT", "a", "b", "CONTAINS", 1, "", None), (3, "OCR_TEXT", "c(.)", r"<\1>", "REGEX", 100, "Y", "Y"), (4, "OCR_TEXT", "z", "no", "CONTAINS", 1, "APPROVED", "N"), (5, "VENDOR", "c.", "$x", "CONTAINS", 0, "APPROVED", "Y")], "id int, dictionary_type string, wrong_text string, corrected_text string, match_type string, priority int, status string, active_yn string")
+    df = spark.createDataFrame([("aB d",), ("z",), ("",), (None,)], "t string")
+    assert [x.t for x in rules.corrected(df, "t", r, ("OCR_TEXT",)).collect()] == ["<c> d", "z", "", None]
+    assert [x.t for x in rules.corrected(df.limit(0), "t", r, ("OCR_TEXT",)).collect()] == []
+    value = r.limit(0).union(spark.createDataFrame([(1, "ITEM", "하이볼!", "모히또", "EXACT", 1, "", "")], r.schema))
+    assert [x.t for x in rules.corrected(spark.createDataFrame([("하이볼!",), (" 하이볼볼볼 ab",)], "t string"), "t", value, ("ITEM",), whole=True).collect()] == ["모히또", "하이볼"]
+
+
+def test_rule_lookups(spark):
+    sections = spark.createDataFrame([("ITEM", "합계 ", "RECEIPT", "Y", 1, 1), ("ITEM", "x", "SLIP", None, 1, 2), ("item", " ", "ALL", "Y", 1, 3), ("TOTAL", "y", "ALL", "N", 1, 4)], "section_type string, keyword string, document_type string, active_yn string, priority int, id int")
+    assert [x.keyword for x in rules.section_keywords(sections, "item", "invoice").collect()] == ["합계"]
+    assert [x.keyword for x in rules.section_keywords(sections, "ITEM").orderBy("id").collect()] == ["합계", "x"]
+    fields = spark.createDataFrame([("receipt", "a", "Y", 0), ("SLIP", "b", "y", 2), ("SLIP", "c", None, 1)], "document_type string, field_key string, required_yn string, sort_order int")
+    assert sorted(map(tuple, rules.required_fields(fields, "slip").collect())) == [("a", 1000), ("b", 2)]
+    assert values(spark, [("meal",), ("교통비",), ("?",), (None,)], "x string", rules.category_of(F.col("x"))) == [("MEAL",), ("TRANSPORT",), (None,), (None,)]
+
+
 def test_many_rules_are_not_cut(spark, monkeypatch):
     rows = [(w, k, c, 1) for w, k, c in (("taxi", "CONTAINS", "A"), ("hotel", "CONTAINS", "B"), ("coffee", "CONTAINS", "C"), ("(bus", "REGEX", "D"), ("[train", "REGEX", "E"), ("plane(", "REGEX", "F"))]
     r = spark.createDataFrame(rows, "keyword string, match_type string, code string, priority int")
@@ -125,18 +165,7 @@ def test_many_rules_are_not_cut(spark, monkeypatch):
     assert {x["code"] for x in rules.scored(docs, "id", "text", r).collect()} == set("ABCDEF")
 
 
-def test_items(spark):
-    lines = "품목명 20,0002 40,000\n품목명 5,0007 35,000\n품목명 예시\n33,000 3개 0 99,000"
-    assert [x[1:] for x in extraction.items_of(lines)] == [(20000, 2, 40000), (5000, 7, 35000), (33000, 3, 99000)]
-    rnd = random.Random(2)
-    for _ in range(60):
-        amounts, total = [rnd.randint(1, 50) for _ in range(rnd.randint(1, 6))], rnd.randint(1, 120)
-        best = min(abs(sum(c) - total) for k in range(1, len(amounts) + 1) for c in combinations(amounts, k))
-        chosen, off = extraction.best_subset(amounts, total)
-        assert off == best == abs(sum(amounts[i] for i in chosen) - total)
-    rows = extraction.items(spark.createDataFrame([(1, lines), (2, None)], "id long, text string"), "id")
-    got = extraction.selected_items(rows, spark.createDataFrame([(1, 75000.0), (2, 1.0)], "id long, total double"), "id").collect()
-    assert [(r["line_no"], r["selected"]) for r in sorted(got, key=lambda r: r["line_no"])] == [(1, True), (2, True), (3, False)]
+def test_page_lines(spark):
     tokens = spark.createDataFrame([(1, 50.0, 10.0, 8.0, "b"), (1, 1.0, 12.0, 8.0, "a"), (1, 1.0, 40.0, 8.0, "c")], "page long, x double, cy double, h double, word string")
     assert [(r[1], r[2]) for r in extraction.page_lines(tokens).collect()] == [(0, "a b"), (1, "c")]
 
