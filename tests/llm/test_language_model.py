@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tallyspark.llm import language_model as lm
 
@@ -56,6 +57,52 @@ def test_scores(spark, monkeypatch):
     assert gain > 0.1 * sum(len(tokens(t)) for d, t in docs if fold(d) == 1 and d is not None and d < 400)
 
 
+def test_scores_are_what_the_model_says(spark, monkeypatch):
+    """Softmax over the classes and a word's share of its class, token by token, with few tokens held."""
+    monkeypatch.setattr(lm, "HELD", 120)
+    monkeypatch.setattr(lm, "SINGLE", 40)
+    monkeypatch.setattr(lm, "ENDINGS", 30)
+    kept = {}
+    real = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a: kept.setdefault("fit", real(*a)))
+    docs = [x for x in corpus(120) if x[0] != 5003]
+    got = {r["doc_id"]: r for r in lm.scores(spark.createDataFrame([(d, t, 1, "z") for d, t in docs], SCHEMA)).collect()}
+    held, _, model = kept["fit"]
+    c = Counter(t for d, text in docs if fold(d) != 1 for t in tokens(text))
+    n, v = sum(c.values()), len(c)
+    unigram = {w: (c[w] + 0.5) / (n + 0.5 * (v + 1)) for w in {t for _, text in docs for t in tokens(text)}}
+    class_of = lambda w: int(held.of_held[held.number[w]]) if w in held.number else held.endings.get(w[-lm.TAIL :], len(held.share) - 1)
+    mass = [0.0] * len(held.share)
+    for w in c:
+        mass[class_of(w.encode())] += unigram[w]
+    for k, m in enumerate(mass[:-1]):
+        assert abs(m - held.share[k]) < 1e-9
+    assert len(held.number) < len(c) and any(class_of(w.encode()) == len(held.share) - 1 for w in c)
+    pad = len(held.share)
+    for d, text in docs:
+        before, total = [pad] * lm.CONTEXT, 0.0
+        for w in tokens(text):
+            k = class_of(w.encode())
+            logits = model.hidden(np.array(before)[:, None])[0] @ model.target.T + model.bias
+            total += math.log10(np.exp(logits - logits.max())[k] / np.exp(logits - logits.max()).sum())
+            if k > held.single:
+                total += math.log10(unigram[w] / held.share[k])
+            before = [k, *before[:-1]]
+        assert abs(got[d]["score"] - total) < 1e-3 * max(1, abs(total))
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_held_out_documents_score_better_than_the_base(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    one = lm.scores(docs.repartition(1)).toPandas()
+    out = one[one["held_out"]]
+    assert (out["score"].sum() - out["base_score"].sum()) / out["n_tokens"].sum() > 0.3
+    assert (out["score"] > out["base_score"]).mean() > 0.95
+    other = lm.scores(docs.repartition(5)).toPandas()
+    both = one.merge(other, on="doc_id")
+    assert (both["score_x"] - both["score_y"]).abs().max() < 1e-6
+
+
 def test_normalised():
     model = lm.Bilinear.start(np.full(20, 0.05))
     logs = model.normalisers()
