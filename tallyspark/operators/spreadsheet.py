@@ -37,3 +37,24 @@ def candidates(cells: DataFrame, most: int = 4) -> DataFrame:
     gap = F.coalesce(F.lead("col").over(order), F.col("col") + most + 1) - F.col("col")
     label = (F.length("value") <= 40) & ~F.col("value").rlike("[0-9]")
     return cells.withColumn("_gap", gap).filter(label & (F.col("_gap") > 1)).select("key", "sheet", "row", (F.col("col") + 1).alias("col"), F.col("value").alias("label"))
+
+
+def anchored(rows: DataFrame, key: str, order: list[str], described: Column, amount: str) -> DataFrame:
+    """Amounts that stand alone go to the first earlier row that is described and has none; such a row is then gone.
+
+    A row without a description and with an amount takes the first open gap before it, if there is one,
+    else it stays. How many found none is the largest excess of such rows over gaps so far, so the
+    pairs follow from running counts: the n-th row that finds one fills the n-th gap. ``order`` must be total.
+    """
+    has = F.coalesce(F.col(amount) > 0, F.lit(False))
+    w = Window.partitionBy(key).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    known = F.coalesce(described, F.lit(False))
+    out = rows.withColumns({"_gap": known & ~has, "_alone": ~known & has, "_no": F.row_number().over(w)})
+    out = out.withColumns({"_g": F.sum(F.col("_gap").cast("int")).over(so_far), "_f": F.sum(F.col("_alone").cast("int")).over(so_far)})
+    out = out.withColumn("_lost", F.greatest(F.lit(0), F.max(F.col("_f") - F.col("_g")).over(so_far)))
+    out = out.withColumn("_paired", F.col("_alone") & (F.col("_lost") == F.coalesce(F.lag("_lost").over(w), F.lit(0))))
+    pair = F.when(F.col("_gap"), F.col("_g")).when(F.col("_paired"), F.col("_f") - F.col("_lost")).otherwise(-F.col("_no"))
+    given = F.max(F.when(F.col("_paired"), F.col(amount))).over(Window.partitionBy(key, "_pair"))
+    out = out.withColumn("_pair", pair).withColumn(amount, F.when(F.col("_gap"), F.coalesce(given, F.col(amount))).otherwise(F.col(amount)))
+    return out.filter(~F.col("_paired")).select(*rows.columns)
