@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 SCHEMA = "file_id long, batch_id long, uploaded_at timestamp, text string"
 
@@ -32,3 +37,69 @@ def batch_counts(judged_rows: DataFrame) -> DataFrame:
 def start(stream: DataFrame, out: str, checkpoint: str):
     """Append judged rows to a table; the checkpoint lets a restarted query go on where it stopped."""
     return judged(once(stream)).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: A file in one of these states isn't taken again; one that failed, or needs review or more papers, can be.
+FINAL = ("NORMAL", "CONFIRMED")
+CHANGES = "file_id long, batch_id long, attempt int, before string, status string, error string, at timestamp"
+
+
+def attempts(stream: DataFrame, status: Column, error: Column) -> DataFrame:
+    """Rows (file_id, batch_id, uploaded_at, ...) -> one change of state (``CHANGES``) for each attempt that is taken.
+
+    ``status`` and ``error`` say how an attempt ends; null is a failure of its own, with its message, and no other
+    file's. A file's state is kept: after a final one further attempts are passed over, else they are counted. Of
+    attempts that come at once the earlier upload goes first. Works on a table as on a stream.
+    """
+    failed = F.coalesce(status, F.lit("FAILED"))
+    message = F.when(failed == "FAILED", F.coalesce(error, F.lit("AI 처리 중 오류가 발생했습니다.")))
+    rows = stream.select("file_id", "batch_id", F.col("uploaded_at").alias("at"), failed.alias("status"), message.alias("error")).filter("file_id is not null")
+
+    def take(attempt: int, last: str | None, rows: pd.DataFrame) -> tuple[int, str | None, list[tuple]]:
+        out = []
+        for r in rows.sort_values(["at", "status"], na_position="first").itertuples(index=False):
+            if last in FINAL:
+                break
+            attempt += 1
+            out.append((r.file_id, r.batch_id, attempt, last, r.status, r.error, r.at))
+            last = r.status
+        return attempt, last, out
+
+    names = [f.name for f in StructType.fromDDL(CHANGES)]
+    if not stream.isStreaming:
+
+        def all_at_once(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(take(0, None, rows)[2], columns=names)
+
+        return rows.groupBy("file_id").applyInPandas(all_at_once, CHANGES)
+
+    def with_state(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        attempt, last = state.get if state.exists else (0, None)
+        attempt, last, out = take(attempt, last, pd.concat(list(parts)))
+        state.update((attempt, last))
+        yield pd.DataFrame(out, columns=names)
+
+    return rows.groupBy("file_id").applyInPandasWithState(with_state, CHANGES, "attempt int, last string", "append", GroupStateTimeout.NoTimeout)
+
+
+def rolled_up(changes: DataFrame) -> DataFrame:
+    """(batch_id, files, processing, and a count for each end state) from changes: each file counts once, in its last state."""
+    states = ("NORMAL", "NEED_REVIEW", "NEED_SUPPLEMENT", "FAILED")
+    of = lambda s: F.sum(F.when(F.col("status") == s, 1).otherwise(0) - F.when(F.col("before") == s, 1).otherwise(0)).alias(s.lower())
+    return changes.groupBy("batch_id").agg(F.sum(F.when(F.col("before").isNull(), 1).otherwise(0)).alias("files"), *[of(s) for s in states])
+
+
+def keep_counts(changes: DataFrame, folder: str, checkpoint: str):
+    """Write the batches' counts as they change (update mode): each micro-batch is a folder of its own, written over if it runs again."""
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/version={number:09d}")
+
+    return rolled_up(changes).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def counts_now(spark: SparkSession, folder: str) -> DataFrame:
+    """The last counts of every batch."""
+    rows = spark.read.parquet(f"{folder}/version=*")
+    others = [c for c in rows.columns if c not in ("batch_id", "version")]
+    return rows.groupBy("batch_id").agg(F.max_by(F.struct(*others), "version").alias("x")).select("batch_id", "x.*")
