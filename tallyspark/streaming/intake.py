@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -67,11 +67,10 @@ def attempts(stream: DataFrame, status: Column, error: Column) -> DataFrame:
 
     names = [f.name for f in StructType.fromDDL(CHANGES)]
     if not stream.isStreaming:
-
-        def all_at_once(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(take(0, None, rows)[2], columns=names)
-
-        return rows.groupBy("file_id").applyInPandas(all_at_once, CHANGES)
+        order = Window.partitionBy("file_id").orderBy("at", "status")
+        ended = F.coalesce(F.max(F.col("status").isin(*FINAL)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+        out = rows.withColumns({"attempt": F.row_number().over(order), "before": F.lag("status").over(order), "_ended": ended})
+        return out.filter("not _ended").select(*names)
 
     def with_state(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         attempt, last = state.get if state.exists else (0, None)
