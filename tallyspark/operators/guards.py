@@ -108,14 +108,14 @@ def rejection(name: Column, amount: Column, quantity: Column, unit: Column, expe
 def guarded(docs: DataFrame, items: DataFrame, key: str) -> DataFrame:
     """What of each document stays confirmed.
 
-    ``docs``: key, document_type, text, total, sale_total, discount, n_amounts, money_false, cap (null: 1).
+    ``docs``: key (unique; a document without one has no items), document_type, text, total, sale_total, discount, n_amounts, money_false, cap (null: 1).
     ``items``: key, line_no, name, amount, quantity, unit_price, of known documents; others are left out.
     Returns key, state, confirmed (number of items), rejected, item_sum, total, estimated_total, suspicious_total, cap,
     description. Equal names with equal rounded amounts count once. Rejected items and sums are added up before they
     are shuffled, so a document of many items is no burden to one task. State is null if nothing was to decide.
     """
-    goal = docs.select(key, expected_total(F.col("total"), F.col("sale_total"), F.col("discount")).alias("_expected"))
-    judged = items.join(goal, key).withColumn("_why", rejection(F.col("name"), F.col("amount"), F.col("quantity"), F.col("unit_price"), F.col("_expected")))
+    docs = docs.withColumn("_expected", expected_total(F.col("total"), F.col("sale_total"), F.col("discount")))
+    judged = items.join(docs.select(key, "_expected"), key).withColumn("_why", rejection(F.col("name"), F.col("amount"), F.col("quantity"), F.col("unit_price"), F.col("_expected")))
     # rejected rows are told apart only by their being rejected; valid ones by name and amount
     same = F.when(F.col("_why").isNull(), F.struct(F.lower(compact(F.col("name"))), F.bround("amount")))
     once = judged.groupBy(key, same.alias("_same")).agg(F.count(F.lit(1)).alias("_rows"), F.min(F.struct("line_no", F.trim("name").alias("name"), "amount")).alias("_first"))
@@ -126,7 +126,7 @@ def guarded(docs: DataFrame, items: DataFrame, key: str) -> DataFrame:
         F.coalesce(F.sum(F.when(~valid, F.col("_rows"))), F.lit(0)).alias("_rejected"),
         F.min(F.when(valid, F.col("_first"))).alias("_head"),
     )
-    d = docs.join(goal, key).join(summed, key, "left").withColumns({"_valid": F.coalesce("_valid", F.lit(0)), "_rejected": F.coalesce("_rejected", F.lit(0))})
+    d = docs.join(summed, key, "left").withColumns({"_valid": F.coalesce("_valid", F.lit(0)), "_rejected": F.coalesce("_rejected", F.lit(0))})
     kind, n, expected, total = F.upper(F.coalesce("document_type", F.lit(""))), F.col("_valid"), F.col("_expected"), F.col("total")
     by_hand = F.contains(kind, F.lit("HANDWRITTEN")) | handwritten_form(F.col("text"))
     transport = ~by_hand & F.contains(kind, F.lit("TRANSPORT"))
