@@ -120,11 +120,21 @@ def review_order(sort: str | None, columns: dict[str, Column]) -> list[Column]:
     A missing deadline or expense date is the latest of all, a missing upload the earliest, a missing score comes
     last either way. Ties: urgency falling, deadline, score, then the latest upload. Unknown sorts are ``urgent``.
     """
+    first, ties = review_place(sort, columns), review_ties(columns)
+    return [F.asc(first), *ties]
+
+
+def review_ties(columns: dict[str, Column]) -> list[Column]:
+    return [F.desc(F.coalesce(columns["urgency"], F.lit(0))), F.asc_nulls_last(columns["deadline"]), F.asc(F.coalesce(columns["score"], F.lit(999.0))), F.desc_nulls_last(columns["uploaded_at"])]
+
+
+def review_place(sort: str | None, columns: dict[str, Column]) -> Column:
+    """``review_order``'s first key as a double that rises, alike for all sorts; see there for what is missing."""
     by, direction = SORTS.get(sort or "", SORTS["urgent"])
     up = direction == "asc"
     dated = by in ("deadline", "expense_date")
     value = F.coalesce(columns[by], F.lit(999.0 if up else -1.0)) if by == "score" else columns[by]
     if by in ("urgency", "issue_count", "file_count"):
         value = F.coalesce(value, F.lit(1 if by == "file_count" else 0))
-    first = (F.asc_nulls_last(value) if dated else F.asc_nulls_first(value)) if up else (F.desc_nulls_first(value) if dated else F.desc_nulls_last(value))
-    return [first, F.desc(F.coalesce(columns["urgency"], F.lit(0))), F.asc_nulls_last(columns["deadline"]), F.asc(F.coalesce(columns["score"], F.lit(999.0))), F.desc_nulls_last(columns["uploaded_at"])]
+    number = F.coalesce((value.cast("timestamp") if dated or by == "uploaded_at" else value).cast("double"), F.lit(float("inf") if dated else float("-inf")))
+    return number if up else -number

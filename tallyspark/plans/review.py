@@ -174,7 +174,7 @@ def batch_enrichment(spark, d):
 
 
 #: Sorts of the review list, with what the reference's comparison of the key comes to in SQL.
-_SORTED = {"urgent": "rank DESC", "deadline_asc": "due ASC NULLS LAST", "deadline_desc": "due DESC NULLS FIRST", "score_asc": "coalesce(score, 999) ASC", "score_desc": "coalesce(score, -1) DESC", "expense_date_desc": "expense_day DESC NULLS FIRST", "issue_count_desc": "issues DESC", "file_count_asc": "total ASC", "oldest": "uploaded ASC"}
+_SORTED = {"urgent": "rank DESC", "deadline_asc": "due ASC NULLS LAST", "deadline_desc": "due DESC NULLS FIRST", "score_asc": "coalesce(score, 999) ASC", "score_desc": "coalesce(score, -1) DESC", "expense_date_desc": "expense_day DESC NULLS FIRST", "issue_count_desc": "issues DESC", "file_count_asc": "total ASC", "oldest": "uploaded ASC", "latest": "uploaded DESC", "expense_date_asc": "expense_day ASC NULLS LAST", "urgency_desc": "rank DESC", "urgency_asc": "rank ASC", "uploaded_at_desc": "uploaded DESC", "uploaded_at_asc": "uploaded ASC", "issue_count_asc": "issues ASC", "file_count_desc": "total DESC"}
 _TIES = "rank DESC, due ASC NULLS LAST, coalesce(score, 999) ASC, uploaded DESC, o_orderkey"
 _ISSUES = "CASE WHEN review + supplement + failed > 0 THEN review + supplement + failed WHEN status IN ('NEED_REVIEW', 'NEED_SUPPLEMENT', 'FAILED') THEN 1 ELSE 0 END"
 
@@ -184,13 +184,12 @@ def review_sorts(spark, d):
     """The first 20 batches by each sort of the review list."""
     b = batch_rows(spark, d)
     columns = {"urgency": F.col("rank"), "deadline": F.col("due"), "score": F.col("score"), "expense_date": F.col("expense_day"), "uploaded_at": F.col("uploaded"), "issue_count": F.col("issues"), "file_count": F.col("total")}
-    out = None
-    for name in _SORTED:
-        keys = [*review.review_order(name, columns), F.asc("o_orderkey")]
-        # the window has 20 rows; what comes before is a top-k on each task
-        first = b.orderBy(*keys).limit(20).select(F.lit(name).alias("sort"), "o_orderkey", F.row_number().over(Window.orderBy(*keys)).alias("place"))
-        out = first if out is None else out.union(first)
-    return out
+    # one pass: every batch with its place in each sort; of each sort a task keeps its first 20 before anything is shuffled
+    places = F.explode(F.array(*[F.struct(F.lit(name).alias("sort"), review.review_place(name, columns).alias("key")) for name in _SORTED])).alias("s")
+    rows = b.select("o_orderkey", *[c.alias(k) for k, c in columns.items()], places)
+    ties = review.review_ties({k: F.col(k) for k in columns})
+    place = F.row_number().over(Window.partitionBy("s.sort").orderBy("s.key", *ties, "o_orderkey"))
+    return rows.select(F.col("s.sort").alias("sort"), "o_orderkey", place.alias("place")).filter("place <= 20")
 
 
 @query("""WITH a AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS amount FROM lineitem), b AS (SELECT *, amount % 1000 AS tail FROM a)
