@@ -20,13 +20,13 @@ from .validation import ISSUE
 
 # Words that show a category; single letters are no evidence.
 EVIDENCE = {
-    "MEAL": "식당 음식점 분식 한식 중식 일식 양식 국밥 찌개 탕 김치 두부김치 전집 김치전 모듬전 파전 전병 소주 맥주 막걸리 하이볼 음료 커피 라떼 카페 베이커리 빵 샌드위치 치킨 피자 버거 도시락 메뉴 테이블명".split(),
-    "TRANSPORT": "택시 버스 지하철 KTX SRT 철도 승차권 운임 요금 주차 통행료 터미널 출발 도착 승차".split(),
-    "LODGING": "호텔 모텔 숙박 리조트 게스트하우스 객실 체크인 체크아웃".split(),
-    "FUEL": "주유 휘발유 경유 LPG 충전소 유류 리터".split(),
-    "COMMUNICATION": "통신 휴대폰 인터넷 전화요금 통신요금".split(),
-    "MATERIAL": "자재 철물 건재 배관 전선 케이블 시멘트 레미콘 목재".split(),
-    "SUPPLIES": "문구 소모품 비품 사무용품 테이프 장갑 마스크 봉투 파일 클립".split(),
+    "MEAL": ["식당", "음식점", "분식", "한식", "중식", "일식", "양식", "국밥", "찌개", "탕", "김치", "두부김치", "전집", "김치전", "모듬전", "파전", "전병", "소주", "맥주", "막걸리", "하이볼", "음료", "커피", "라떼", "카페", "베이커리", "빵", "샌드위치", "치킨", "피자", "버거", "도시락", "메뉴", "테이블명"],
+    "TRANSPORT": ["택시", "버스", "지하철", "KTX", "SRT", "철도", "승차권", "운임", "요금", "주차", "통행료", "터미널", "출발", "도착", "승차"],
+    "LODGING": ["호텔", "모텔", "숙박", "리조트", "게스트하우스", "객실", "체크인", "체크아웃"],
+    "FUEL": ["주유", "휘발유", "경유", "LPG", "충전소", "유류", "리터"],
+    "COMMUNICATION": ["통신", "휴대폰", "인터넷", "전화요금", "통신요금"],
+    "MATERIAL": ["자재", "철물", "건재", "배관", "전선", "케이블", "시멘트", "레미콘", "목재"],
+    "SUPPLIES": ["문구", "소모품", "비품", "사무용품", "테이프", "장갑", "마스크", "봉투", "파일", "클립"],
 }
 # Categories for which one word is enough.
 ONE_IS_ENOUGH = ("TRANSPORT", "FUEL", "LODGING")

@@ -14,8 +14,8 @@ from ..functions.text import compact
 from .checks import expected_total
 
 # Words that no item's name holds, hints of handwritten forms, and how numbers may stand in a name.
-NON_ITEM_WORDS = "합계 총계 총액 판매합계 받을금액 받은금액 결제 카드 승인 공급가 공급가액 부가세 세액 과세 면세 입금계좌 사업자 전화 주소 대표 매장명 영수증 계산서 주문자 고객수 테이블 일시불 포인트 멤버십 가맹점 카드번호 승인번호 승인일시".split()
-FORM_HINTS = "공급받는자용 공급대가총액 위금액을정히 정히영수 입금계좌 품목수량단가 공급대가금액 부가가치세법시행규칙 영수증으로개정".split()
+NON_ITEM_WORDS = ["합계", "총계", "총액", "판매합계", "받을금액", "받은금액", "결제", "카드", "승인", "공급가", "공급가액", "부가세", "세액", "과세", "면세", "입금계좌", "사업자", "전화", "주소", "대표", "매장명", "영수증", "계산서", "주문자", "고객수", "테이블", "일시불", "포인트", "멤버십", "가맹점", "카드번호", "승인번호", "승인일시"]
+FORM_HINTS = ["공급받는자용", "공급대가총액", "위금액을정히", "정히영수", "입금계좌", "품목수량단가", "공급대가금액", "부가가치세법시행규칙", "영수증으로개정"]
 SIZES = r"[0-9]+\s*(개|개입|입|매|장|롤|팩|봉|병|잔|인분|인|세트|SET|set|종|호|ml|mL|ML|g|G|kg|KG|L|l)|제로|ZERO|zero|1\+1|2\+1"
 NOISE = r"[ρπγ∗×Ω℃♥★◆◇□■●○▲△▼▽♣♠※^{}<>_=|`~]"
 NUMBERS_ONLY = r"^[0-9,.'`~\-:;_/\\()\[\]{}\s]+$"
