@@ -20,6 +20,8 @@ from ..functions.text import CATEGORY_NAMES, first_keyword, meal_receipt, rule_k
 
 #: Rules that are searched at once; more are searched in blocks of about so many.
 MOST_RULES = 100_000
+#: Rules that are tested one by one in Spark's own expressions, without Python.
+FEW_RULES = 64
 #: The document types whose rules hold for every document, besides its own.
 COMMON_TYPES = ("RECEIPT", "ITEM_RECEIPT", "TRANSPORT_RECEIPT", "CARD_RECEIPT", "GENERIC_RECEIPT", "COMMON", "ALL")
 _KINDS = ("EXACT", "CONTAINS", "REGEX", "FUZZY")
@@ -100,8 +102,9 @@ def _hits(docs: DataFrame, key: str, text: str, rules: DataFrame, *columns: str)
     """(key, columns of the rule) for each rule (keyword, match_type, ...) that fits a document.
 
     EXACT compares keys; CONTAINS and FUZZY look for the key in the text's key, or where a keyword has
-    none, for the keyword in the text: all keywords at once, by an automaton that each task makes of
-    the rules. REGEX is Spark's own, without case; a pattern that is none is looked for as it stands.
+    none, for the keyword in the text. A few rules are tested one by one by Spark itself; many are looked
+    for all at once, by an automaton that each task makes of them. REGEX is Spark's own, without case; a
+    pattern that is none is looked for as it stands.
     Rules come to the driver in blocks of a bounded size, and a document passes by each block once.
     """
     spark = docs.sparkSession
@@ -119,6 +122,18 @@ def _hits(docs: DataFrame, key: str, text: str, rules: DataFrame, *columns: str)
                 patterns.append((i, r["_word"]))
             elif r["_kind"] == "REGEX":
                 r["_kind"], r["_key"] = "CONTAINS", ""
+        if len(rows) <= FEW_RULES:
+            compacted, low = F.col("_key"), F.col("_low")
+
+            def fit(r: dict) -> Column:
+                if r["_kind"] == "REGEX":
+                    return F.col("_text").rlike("(?i)" + r["_word"])
+                if r["_kind"] == "EXACT":
+                    return compacted == F.lit(r["_key"])
+                return F.contains(compacted, F.lit(r["_key"])) if r["_key"] else F.contains(low, F.lit(r["_low"]))
+
+            said = [F.when(fit(r), F.struct(*[F.lit(r[c]).cast(result[c].dataType).alias(c) for c in columns])) for r in rows]
+            return keyed.select(key, F.inline(F.array_compact(F.array(*said)))) if said else spark.createDataFrame([], result)
         shared = spark.sparkContext.broadcast(rows)
         fits = F.array_compact(F.array(*[F.when(F.col("_text").rlike("(?i)" + p), F.lit(i)) for i, p in patterns])) if patterns else F.array().cast("array<int>")
 

@@ -107,7 +107,9 @@ def test_changes(spark):
     assert sorted((r["k"] or 0, r["v"]) for r in once.collect()) == [(0, "b"), (1, "a"), (2, "c")]
 
 
-def test_rules(spark):
+@pytest.mark.parametrize("few", [0, 64])
+def test_rules(spark, monkeypatch, few):
+    monkeypatch.setattr(rules, "FEW_RULES", few)
     docs = spark.createDataFrame([(1, "coffee shop coffee"), (2, "taxi ["), (3, None)], "id long, text string")
     r = spark.createDataFrame([("MEAL", "CONTAINS", "coffee", 10, "Y", "APPROVED"), ("MOVE", "REGEX", "tax[iy]", 10, "Y", ""), ("MOVE", "REGEX", "[", 10, "Y", "Y"), ("X", "CONTAINS", "o", 1, "Y", "Y"), ("X", "EXACT", "taxi", 1, "N", "Y")], "code string, match_type string, keyword string, priority int, active_yn string, status string")
     got = {(x["id"], x["code"]): x["score"] for x in rules.scored(docs, "id", "text", rules.usable(r)).collect()}
@@ -117,7 +119,9 @@ def test_rules(spark):
     assert found == [("스타벅스", "DICTIONARY"), ("스타벅스", "CONTAINS"), ("Starbucks", "FUZZY"), ("qq", "RAW"), (None, "RAW")]
 
 
-def test_keys_keep_signs_that_tell_rules_apart(spark):
+@pytest.mark.parametrize("few", [0, 64])
+def test_keys_keep_signs_that_tell_rules_apart(spark, monkeypatch, few):
+    monkeypatch.setattr(rules, "FEW_RULES", few)
     rows = [("C++ 17",), ("1+1",), ("R&D",), ("A×B",), (" 'a' “b” (c)[d]{e}:/|*_-.,",), ("\u3000a\u00a0b",), (None,)]
     assert values(spark, rows, "x string", text.rule_key(F.col("x"))) == [("c++17",), ("1+1",), ("r&d",), ("ab",), ("abcde",), ("ab",), ("",)]
     assert values(spark, [("(주) A㈜B",), ("주식회사 C+",)], "x string", text.vendor_key(F.col("x"))) == [("ab",), ("c+",)]
@@ -157,7 +161,9 @@ def test_rule_lookups(spark):
     assert values(spark, [("meal",), ("교통비",), ("?",), (None,)], "x string", rules.category_of(F.col("x"))) == [("MEAL",), ("TRANSPORT",), (None,), (None,)]
 
 
-def test_many_rules_are_not_cut(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 64])
+def test_many_rules_are_not_cut(spark, monkeypatch, few):
+    monkeypatch.setattr(rules, "FEW_RULES", few)
     rows = [(w, k, c, 1) for w, k, c in (("taxi", "CONTAINS", "A"), ("hotel", "CONTAINS", "B"), ("coffee", "CONTAINS", "C"), ("(bus", "REGEX", "D"), ("[train", "REGEX", "E"), ("plane(", "REGEX", "F"))]
     r = spark.createDataFrame(rows, "keyword string, match_type string, code string, priority int")
     docs = spark.createDataFrame([(1, "taxi hotel coffee (bus [train plane(")], "id int, text string")
