@@ -17,7 +17,7 @@ def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def distinct_lines(docs: DataFrame, key: str, text: str = "text", separator: str = "\n") -> DataFrame:
     """(key, text): each line once, where it first stands."""
-    kept = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), F.trim), lambda x: x != ""))
+    kept = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != ""))
     return docs.select(key, F.array_join(kept, separator).alias(text))
 
 

@@ -176,6 +176,12 @@ def test_page_lines(spark):
     assert [(r[1], r[2]) for r in extraction.page_lines(tokens).collect()] == [(0, "a b"), (1, "c")]
 
 
+def test_distinct_lines_keep_their_digits(spark):
+    """Only blanks are cut off, not a digit that is the line's own number."""
+    docs = spark.createDataFrame([(1, "0950 a\n 1219 b \n1219 b\n\n c1"), (2, None)], "k int, text string")
+    assert sorted((r.k, r.text) for r in extraction.distinct_lines(docs, "k").collect()) == [(1, "0950 a\n1219 b\nc1"), (2, "")]
+
+
 def test_zero_penalty_counts_as_the_default(spark):
     found = validation.issues(validation.issue(F.lit(True), "A", "x", penalty=0.0), validation.issue(F.lit(None), "B", "y"))
     assert spark.range(1).select(F.round(validation.penalty(found), 4)).first()[0] == 0.08
