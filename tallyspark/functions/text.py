@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
@@ -15,6 +16,14 @@ RULE_MARKS = r"(?U)[\s\x1C-\x1F\"'‘’“”_\-.,()\[\]{}:/\\|*×]+"
 NULL_WORDS = ("none", "null", "undefined", "nan")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` where the value is worked out once for each row, however often the body names it.
+
+    Otherwise an expression is written out wherever it is used; in filters, branches and lambdas Spark works each one out anew.
+    """
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def compact(text: Column) -> Column:
     """Without any white space."""
     return F.regexp_replace(text, r"\s+", "")

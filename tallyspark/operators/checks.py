@@ -16,6 +16,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from .validation import ISSUE
 
 # Words that show a category; single letters are no evidence.
@@ -143,28 +144,33 @@ def text_quality(text: Column) -> Column:
 
     Null, empty and blank texts are 0.
     """
-    clean = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-    whole = F.array_join(clean, "\n")
-    letters = lambda c: F.length(F.regexp_replace(c, "[^가-힣A-Za-z]", ""))
-    digits = lambda c: F.length(F.regexp_replace(c, "[^0-9]", ""))
+    # an empty line between a carriage return and a line feed is dropped with the others; single blanks stay as they are
+    clean = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[\n\r\x0B\f\x1C-\x1E\x85  ]"), lambda x: F.trim(F.regexp_replace(x, r"\s{2,}|[\t\n\x0B\f\r]", " "))), lambda x: x != "")
+    return bound(clean, lambda lines: bound(F.array_join(lines, "\n"), lambda whole: _quality_of(lines, whole)))
 
-    def noisy(line: Column) -> Column:
-        c = F.regexp_replace(line, r"\s+", "")
+
+def _quality_of(clean: Column, whole: Column) -> Column:
+    """``text_quality`` of the lines and of all of them together."""
+    digits = lambda c: F.length(F.regexp_replace(c, "[^0-9]+", ""))
+    letter = "[가-힣A-Za-z]"
+
+    def noisy(c: Column) -> Column:
         amount = c.rlike(r"[,.][0-9]{3}|원|합계|금액|결제|판매|영수|운임")
-        return (F.length(c) <= 2) | ((digits(c) >= 4) & (letters(c) <= 1) & ~amount) | ((letters(c) == 0) & (digits(c) == 0))
+        one_letter = ~c.rlike(f"{letter}[^가-힣A-Za-z]*{letter}")
+        return (F.length(c) <= 2) | (one_letter & (((digits(c) >= 4) & ~amount) | ~c.rlike("[가-힣A-Za-z0-9]")))
 
     n = F.size(clean)
-    short = F.size(F.filter(clean, noisy)) / F.greatest(n, F.lit(1))
+    short = F.size(F.filter(clean, lambda line: bound(F.replace(line, F.lit(" ")), noisy))) / F.greatest(n, F.lit(1))
     words = sum((F.contains(whole, F.lit(w)).cast("int") for w in RECEIPT_WORDS), F.lit(0))
     plus = lambda holds, points: F.when(holds, points).otherwise(0.0)
     score = (
         F.lit(0.45)
-        + plus(F.regexp_count(whole, F.lit(r"(?<![0-9])(?:[0-9]{1,3}(?:[,.][0-9]{3})+|[0-9]{4,7})\s*원?(?![0-9])")) >= 2, 0.15)
+        + plus(F.regexp_count(whole, F.lit(r"(?=[0-9])(?<![0-9])(?:[0-9]{1,3}(?:[,.][0-9]{3})+|[0-9]{4,7})\s*원?(?![0-9])")) >= 2, 0.15)
         + plus(F.regexp_count(whole, F.lit(r"20[0-9]{2}[-./년\s]*[0-9]{1,2}[-./월\s]*[0-9]{1,2}")) >= 1, 0.12)
         + plus(words >= 3, 0.12)
-        + plus(F.length(F.regexp_replace(whole, "[^가-힣]", "")) >= 20, 0.08)
+        + plus(F.length(F.regexp_replace(whole, "[^가-힣]+", "")) >= 20, 0.08)
         + plus(digits(whole) >= 20, 0.04)
-        - F.when(short > 0.45, 0.20).when(short > 0.30, 0.10).otherwise(0.0)
+        - bound(short, lambda s: F.when(s > 0.45, 0.20).when(s > 0.30, 0.10).otherwise(0.0))
     )
     return F.when(n == 0, 0.0).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 4))
 

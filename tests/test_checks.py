@@ -36,6 +36,12 @@ def test_text_quality(spark):
     assert {r[0]: r[1] for r in rows} == {i: plain_quality(t) for i, t in enumerate(texts)}
 
 
+def test_a_text_is_split_once(spark):
+    """Written out wherever it is used, the split would be worked out dozens of times for each text."""
+    plan = spark.createDataFrame([("a\r\nb",)], "text string").select(checks.text_quality(F.col("text")).alias("q"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("split(") == 1
+
+
 def test_text_quality_of_documents(spark):
     from tallyspark import plans
 
