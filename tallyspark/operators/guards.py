@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections import defaultdict
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import compact
+from ..functions.item_lines import any_of
+from ..functions.text import bound, compact
 from .checks import expected_total
 
 # Words that no item's name holds, hints of handwritten forms, and how numbers may stand in a name.
@@ -25,25 +27,40 @@ TOTAL_LABELS = "합계|총액|공급대가|결제|승인"
 
 
 def _left(text: Column, kept: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{kept}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{kept}]+", ""))
 
 
 def _impossible(text: Column, c: Column) -> Column:
-    return c.rlike("|".join(NON_ITEM_WORDS)) | text.rlike(NUMBERS_ONLY) | c.rlike(IDENTIFIER) | c.rlike(ADDRESS)
+    return c.rlike(any_of(NON_ITEM_WORDS)) | text.rlike(NUMBERS_ONLY) | c.rlike(IDENTIFIER) | c.rlike(ADDRESS)
 
 
 def _letters_mean_something(text: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(text, r"[0-9,.'`~\-:;_/\\()\[\]{}\s]+", ""), "^(개|EA|ea|x|X)+", "")
-    latin, digits = _left(bare, "A-Za-z"), _left(text, "0-9")
-    return bare.rlike("[가-힣]{2,}") | ((latin >= 2) & (digits == 0)) | ((latin >= 4) & (digits <= 1))
+    def means(bare: Column) -> Column:
+        latin, digits = _left(bare, "A-Za-z"), _left(text, "0-9")
+        return bare.rlike("[가-힣]{2,}") | bound(latin, lambda latin: ((latin >= 2) & (digits == 0)) | ((latin >= 4) & (digits <= 1)))
+
+    return bound(F.regexp_replace(F.regexp_replace(text, r"[0-9,.'`~\-:;_/\\()\[\]{}\s]+", ""), "^(개|EA|ea|x|X)+", ""), means)
 
 
 def item_name_quality(name: Column) -> Column:
     """0 to 1: how much a text looks like an item's name. Null, empty and impossible names are 0."""
-    text = F.trim(F.coalesce(name, F.lit("")))
-    c = compact(text)
+    return _trimmed(name, lambda text, c: F.when((c == "") | _impossible(text, c), 0.0).otherwise(_counted(c, lambda *counts: _points(text, c, *counts))))
+
+
+def _trimmed(name: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the trimmed name, and of that without white space."""
+    return bound(F.trim(F.coalesce(name, F.lit(""))), lambda text: bound(compact(text), lambda c: body(text, c)))
+
+
+def _counted(c: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """``body`` of the numbers of letters, digits and other signs."""
+    counts = F.struct(_left(c, "가-힣A-Za-z").alias("letters"), _left(c, "0-9").alias("digits"), F.length(F.regexp_replace(c, "[가-힣A-Za-z0-9]+", "")).alias("signs"))
+    return bound(counts, lambda n: body(n["letters"], n["digits"], n["signs"]))
+
+
+def _points(text: Column, c: Column, letters: Column, digits: Column, signs: Column) -> Column:
+    """``item_name_quality`` of a possible name."""
     n = F.greatest(F.length(c), F.lit(1))
-    letters, digits, signs = _left(c, "가-힣A-Za-z"), _left(c, "0-9"), F.length(F.regexp_replace(c, "[가-힣A-Za-z0-9]", ""))
     less = lambda holds, points: F.when(holds, points).otherwise(0.0)
     share = digits / n
     digit_points = F.when((letters >= 3) & (share <= 0.45), F.least(F.lit(0.22), share * 0.45)).otherwise(F.least(F.lit(0.55), share + 0.25))
@@ -59,24 +76,22 @@ def item_name_quality(name: Column) -> Column:
         - less(letters / n < 0.65, 0.30)
         - less(c.rlike("[A-Za-z]") & c.rlike("[가-힣]") & ~text.rlike("[가-힣A-Za-z]{2,}"), 0.25)
     )
-    return F.when((c == "") | _impossible(text, c), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
 
 
 def bad_item_name(name: Column) -> Column:
     """Whether a text can't be kept as an item's name; names of Latin letters and digits alone never are. Null: true."""
-    text = F.trim(F.coalesce(name, F.lit("")))
-    c = compact(text)
-    quality, word = item_name_quality(text), text.rlike("[가-힣A-Za-z]{2,}")
-    letters, digits = _left(c, "가-힣A-Za-z"), _left(c, "0-9")
+    return _trimmed(name, lambda text, c: (c == "") | (F.length(c) < 2) | (F.length(c) > 45) | _impossible(text, c) | _counted(c, lambda *counts: _bad(text, c, *counts)))
+
+
+def _bad(text: Column, c: Column, letters: Column, digits: Column, signs: Column) -> Column:
+    """``bad_item_name`` of a possible name."""
+    word = text.rlike("[가-힣A-Za-z]{2,}")
     return (
-        (c == "")
-        | ((quality < 0.70) & ~(word & (quality >= 0.55)))
-        | (F.length(c) < 2)
-        | (F.length(c) > 45)
-        | _impossible(text, c)
+        bound(_points(text, c, letters, digits, signs), lambda quality: (quality < 0.70) & ~(word & (quality >= 0.55)))
         | (letters < 2)
         | ~_letters_mean_something(text)
-        | (F.length(F.regexp_replace(text, r"[가-힣A-Za-z0-9\s]", "")) >= 3)
+        | (F.length(F.regexp_replace(text, r"[가-힣A-Za-z0-9\s]+", "")) >= 3)
         | ((digits >= letters) & ~word)
         | text.rlike(r"[{}πγρΩ<>^]|['`’]{2,}|[0-9][A-Za-z]{3,}")
         | (text.rlike("[A-Za-z]{4,}[0-9]") & (letters < 4))

@@ -60,3 +60,9 @@ def test_guarded_edges(spark):
     assert (out[3].state, out[3].description, out[3].item_sum) == ("CONFIRMED", "김치찌개 외 1건", 3000.0)
     assert guards.guarded(docs.limit(0), items, "doc").count() == 0
     assert guards.guarded(docs, items.limit(0), "doc").filter("state IS NULL").count() == 3
+
+
+def test_a_name_is_trimmed_once(spark):
+    """Written out wherever it is used, a name would be worked out dozens of times."""
+    plan = spark.createDataFrame([("a",)], "x string").select(guards.bad_item_name(F.col("x")).alias("q"), F.lit(1).alias("r"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("x#") == 2
