@@ -173,6 +173,8 @@ def batch_enrichment(spark, d):
     return batch_rows(spark, d).select("o_orderkey", "status", "expense_day", "due", "deadline", "rank", "label", "reason")
 
 
+#: Parts in which batches are sorted; a prime, so that no shuffle before is like it.
+SORT_PARTS = 257
 #: Sorts of the review list, with what the reference's comparison of the key comes to in SQL.
 _SORTED = {"urgent": "rank DESC", "deadline_asc": "due ASC NULLS LAST", "deadline_desc": "due DESC NULLS FIRST", "score_asc": "coalesce(score, 999) ASC", "score_desc": "coalesce(score, -1) DESC", "expense_date_desc": "expense_day DESC NULLS FIRST", "issue_count_desc": "issues DESC", "file_count_asc": "total ASC", "oldest": "uploaded ASC", "latest": "uploaded DESC", "expense_date_asc": "expense_day ASC NULLS LAST", "urgency_desc": "rank DESC", "urgency_asc": "rank ASC", "uploaded_at_desc": "uploaded DESC", "uploaded_at_asc": "uploaded ASC", "issue_count_asc": "issues ASC", "file_count_desc": "total DESC"}
 _TIES = "rank DESC, due ASC NULLS LAST, coalesce(score, 999) ASC, uploaded DESC, o_orderkey"
@@ -186,6 +188,8 @@ def review_sorts(spark, d):
     columns = {"urgency": F.col("rank"), "deadline": F.col("due"), "score": F.col("score"), "expense_date": F.col("expense_day"), "uploaded_at": F.col("uploaded"), "issue_count": F.col("issues"), "file_count": F.col("total")}
     # one pass: every batch with its place in each sort; of each sort a task keeps its first 20 before anything is shuffled
     places = F.explode(F.array(*[F.struct(F.lit(name).alias("sort"), review.review_place(name, columns).alias("key")) for name in _SORTED])).alias("s")
+    # every batch becomes as many rows as there are sorts, which a task sorts: so many parts that they stay small, never put together
+    b = b.repartition(SORT_PARTS, "o_orderkey")
     rows = b.select("o_orderkey", *[c.alias(k) for k, c in columns.items()], places)
     ties = review.review_ties({k: F.col(k) for k in columns})
     place = F.row_number().over(Window.partitionBy("s.sort").orderBy("s.key", *ties, "o_orderkey"))

@@ -120,3 +120,8 @@ def test_names_of_unknown_keys_are_null(spark):
     df = spark.createDataFrame([(1, 7), (2, None), (3, 8)], "id int, k int")
     out = lists.with_names(df, "k", spark.createDataFrame([(7, "seven")], "k int, name string"), "k", {"name": "name"})
     assert sorted(map(tuple, out.select("id", "name").collect())) == [(1, "seven"), (2, None), (3, None)]
+
+
+def test_sorts_of_the_review_list_are_dealt_to_small_parts(spark):
+    d = "/root/testdata/sf0.001"
+    assert "RepartitionByExpression [o_orderkey" in plans.QUERIES["review_sorts"](spark, d)._jdf.queryExecution().optimizedPlan().toString()
