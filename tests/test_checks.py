@@ -127,3 +127,9 @@ def test_sorts_of_the_review_list_are_dealt_to_small_parts(spark):
 
     d = "/root/testdata/sf0.001"
     assert "RepartitionByExpression [o_orderkey" in plans.QUERIES["review_sorts"](spark, d)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_orders_are_dealt_to_small_parts(spark):
+    from tallyspark import plans
+
+    assert "RepartitionByExpression [l_orderkey" in plans.QUERIES["anchor_repair"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
