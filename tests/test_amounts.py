@@ -40,3 +40,14 @@ def test_numbers_in_lines(spark):
     assert [g[0] for g in got] == [[273], [1812, 819], [117269], [], [350], [], [160], [100], [], []]
     assert got[0][3] == [3000, 273] and got[1][3][:2] == [28181, 2819]
     assert got[6][1] == [1600000] and got[7][2] == [5000, 5, 100] and got[3][2] == [350]
+
+
+def test_amounts_in_one_row(spark):
+    """Lines are read in their document's row: no windows, no joins, however many lines."""
+    df = spark.createDataFrame([("long", "\n".join(["빵", "커피 4,500"] * 3000 + ["합계", "가", "9,000", "세액 1,000"])), ("none", "빵\n가")], "doc string, text string")
+    out = amounts.labelled_amounts(df, "doc")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "Aggregate" not in plan
+    got = {r.doc: r for r in out.collect()}
+    assert tuple(got["long"].total) == (9000, "합계 -> 9,000") and got["long"].tax.amount == 1000 and got["long"].paid is None
+    assert not any(got["none"][1:])
