@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.receipts import bad_vendor
-from ..functions.text import compact, vendor_key
-from .amounts import identifier_line, money_values
+from ..functions.text import bound, compact, vendor_key
+from .amounts import PARTS, has_money, tidy_lines
 
 #: Lines that are looked at.
 FIRST_LINES = 28
@@ -30,17 +30,20 @@ SHOPS = "㈜|주식회사|점|마트|매장|상점|상회|상사|센터|가게"
 
 
 def labelled_name(line: Column) -> Column:
-    """A line without a label before the vendor's name and without the owner, address or telephone behind it."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(line, F.lit("")), "[₩￦]", ""), r"(?U)\s+", " "))
-    text = F.trim(F.regexp_replace(F.trim(F.regexp_replace(text, LABELS, "")), OWNERS, ""))
+    """A tidy line without a label before the vendor's name and without the owner, address or telephone behind it."""
+    text = F.trim(F.regexp_replace(F.trim(F.regexp_replace(line, LABELS, "")), OWNERS, ""))
     return F.regexp_replace(text, r"^[ :\-/\[\]]+|[ :\-/\[\]]+$", "")
 
 
 def excluded(text: Column) -> Column:
     """Whether a text is a title, has a word that rules a vendor out, or numbers, amounts, addresses."""
-    c = F.lower(F.regexp_replace(text, r"(?U)[\s\[\](){}【】<>:：,._\-|/\\'\"`·]+", ""))
-    titled = c.rlike("^(" + "|".join(TITLES) + ")") & F.exists(F.array(*[F.lit(t) for t in TITLES]), lambda t: F.startswith(c, t) & (F.length(c) <= F.length(t) + 4))
-    return (c == "") | titled | c.rlike("|".join(BAD_WORDS + TITLES)) | identifier_line(text) | (F.size(money_values(text)) > 0) | c.rlike(r"[0-9]{2,}|@|www|http|\.com") | c.rlike(PLACES)
+    small = F.lower(F.regexp_replace(text, r"(?U)[\s\[\](){}【】<>:：,._\-|/\\'\"`·]+", ""))
+
+    def judged(c: Column) -> Column:
+        # a title at the start is among the titles that rule out anywhere
+        return (c == "") | c.rlike("|".join(BAD_WORDS + TITLES)) | c.rlike(r"[0-9]{2,}|@|www|http|\.com") | c.rlike(PLACES)
+
+    return bound(small, judged) | has_money(text)
 
 
 def vendors(docs: DataFrame, key: str, text: str = "text", corrections: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -56,34 +59,47 @@ def vendors(docs: DataFrame, key: str, text: str = "text", corrections: list[tup
     keys = F.array(*[F.struct(vendor_key(F.lit(w)).alias("k"), F.lit(r).alias("v")) for w, r in known.items()]) if known else F.array().cast("array<struct<k:string,v:string>>")
 
     def corrected(name: Column) -> Column:
-        own = vendor_key(name)
-        same = F.get(F.filter(keys, lambda x: x["k"] == own), F.lit(0))["v"]
-        within = F.get(F.filter(keys, lambda x: (x["k"] != "") & F.contains(own, x["k"])), F.lit(0))["v"]
-        return F.coalesce(same, within)
-
-    raw = F.slice(F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "[\r\n]"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "[₩￦]", ""), r"(?U)\s+", " "))), lambda x: x != ""), 1, FIRST_LINES)
-    rows = docs.select(key, F.posexplode(raw).alias("no", "line")).withColumn("name", labelled_name(F.col("line")))
-    rows = rows.withColumn("c", compact(F.col("name"))).filter(F.length("c") >= 2)
-    rows = rows.withColumn("out", excluded(F.col("name"))).filter("not out")
-    name, c = F.col("name"), F.col("c")
-    stop = F.min(F.when(c.rlike(STOPS), F.col("no"))).over(Window.partitionBy(key))
-    rows = rows.withColumn("stop", stop).filter("stop is null or no < stop")
-    part = F.regexp_replace(F.regexp_extract(name, BESIDE, 1), r"^[ :\-/\t]+|[ :\-/\t]+$", "")
-    rows = rows.withColumn("part", F.when(name.rlike(BESIDE) & (part != "") & F.length(compact(part)).between(2, 30), part))
-    rows = rows.withColumns({"beside": F.coalesce(corrected(F.col("part")), F.col("part")), "listed": corrected(name)})
-    letters = F.length(F.regexp_replace("beside", "[^가-힣A-Za-z]", ""))
-    beside = F.when((letters >= 2) & ~excluded(F.col("beside")) & ~bad_vendor(F.col("beside")), F.trim("beside"))
-    listed = F.when(~excluded(F.col("listed")) & ~bad_vendor(F.col("listed")), F.trim("listed"))
-    possible = (
-        (F.length(c) <= 42)
-        & ~c.rlike(r"^[\[\]0-9A-Za-z\-_.:]+$")
-        & ((F.length(c) > 2) | c.rlike("[가-힣]{2,}"))
-        & ~(name.rlike(r"^[A-Za-z\s]+$") & (F.length(name) < 4))
-        & ~c.rlike("[가-힣0-9]+로[0-9]*|[가-힣0-9]+길[0-9]*|번길|상가동|층")
-    )
-    points = F.lit(100) - F.col("no") + F.when(name.rlike(SHOPS), 40).otherwise(0) + F.when(name.rlike("^[가-힣A-Za-z ]{3,20}$"), 20).otherwise(0)
-    rows = rows.select(key, "no", name.alias("name"), F.coalesce(F.when(beside.isNotNull(), F.struct(beside.alias("v"), F.lit("line").alias("by"))), F.when(listed.isNotNull(), F.struct(listed.alias("v"), F.lit("dictionary").alias("by")))).alias("sure"), F.when(possible, F.struct(points.alias("p"), (-F.col("no")).alias("n"))).alias("rank"))
-    per = rows.groupBy(key).agg(F.min_by("sure", F.when(F.col("sure").isNotNull(), F.col("no"))).alias("sure"), F.max_by("name", "rank").alias("best"), F.max("rank").alias("rank"))
-    best = F.when(F.col("rank").isNotNull() & ~bad_vendor(F.col("best")), F.col("best"))
-    per = per.select(key, F.coalesce("sure.v", best).alias("vendor"), F.coalesce("sure.by", F.when(best.isNotNull(), "points")).alias("by"))
-    return docs.select(key).join(per, key, "left")
+        same = lambda own: F.get(F.filter(keys, lambda x: x["k"] == own), F.lit(0))["v"]
+        within = lambda own: F.get(F.filter(keys, lambda x: (x["k"] != "") & F.contains(own, x["k"])), F.lit(0))["v"]
+        return bound(vendor_key(name), lambda own: F.coalesce(same(own), within(own))) if known else F.lit(None).cast("string")
+
+    def usable(text: Column) -> Column:
+        return ~excluded(text) & ~bad_vendor(text)
+
+    def beside(name: Column) -> Column:
+        """What stands before a number or telephone, corrected, if it can be a vendor."""
+        part = F.when(name.rlike(BESIDE), F.regexp_replace(F.regexp_extract(name, BESIDE, 1), r"^[ :\-/\t]+|[ :\-/\t]+$", ""))
+        right = bound(part, lambda x: F.when((x != "") & F.length(compact(x)).between(2, 30), F.coalesce(corrected(x), x)))
+        return bound(right, lambda x: F.when((F.length(F.regexp_replace(x, "[^가-힣A-Za-z]", "")) >= 2) & usable(x), F.trim(x)))
+
+    def sure(name: Column) -> Column:
+        listed = bound(corrected(name), lambda x: F.when(usable(x), F.trim(x)))
+        told = lambda by: lambda x: F.when(x.isNotNull(), F.struct(x.alias("v"), F.lit(by).alias("by")))
+        return F.coalesce(bound(beside(name), told("line")), bound(listed, told("dictionary")))
+
+    def rank(no: Column, name: Column, c: Column) -> Column:
+        possible = (
+            (F.length(c) <= 42)
+            & ~c.rlike(r"^[\[\]0-9A-Za-z\-_.:]+$")
+            & ((F.length(c) > 2) | c.rlike("[가-힣]{2,}"))
+            & ~(name.rlike(r"^[A-Za-z\s]+$") & (F.length(name) < 4))
+            & ~c.rlike("[가-힣0-9]+로[0-9]*|[가-힣0-9]+길[0-9]*|번길|상가동|층")
+        )
+        points = F.lit(100) - no + F.when(name.rlike(SHOPS), 40).otherwise(0) + F.when(name.rlike("^[가-힣A-Za-z ]{3,20}$"), 20).otherwise(0)
+        return F.when(possible, F.struct(points.alias("p"), (-no).alias("n"), name.alias("name")))
+
+    def before_stop(rows: Column) -> Column:
+        stop = F.array_position(F.transform(rows, lambda r: r["c"].rlike(STOPS)), True)
+        return bound(stop, lambda at: F.when(at > 0, F.slice(rows, F.lit(1), at.cast("int") - 1)).otherwise(rows))
+
+    def chosen(rows: Column) -> Column:
+        first = F.get(F.filter(F.transform(rows, lambda r: sure(r["name"])), lambda x: x.isNotNull()), F.lit(0))
+        most = F.array_max(F.transform(rows, lambda r: rank(r["no"], r["name"], r["c"])))["name"]
+        by_points = bound(most, lambda name: F.when(name.isNotNull() & ~bad_vendor(name), F.struct(name.alias("v"), F.lit("points").alias("by"))))
+        return F.coalesce(first, by_points)
+
+    # all in one row of each document; they are dealt first: few bytes, much work, so the parts are many and never put together
+    docs = docs.select(key, text).repartition(PARTS, key)
+    named = F.transform(F.slice(tidy_lines(F.col(text)), 1, FIRST_LINES), lambda x, i: bound(labelled_name(x), lambda name: F.struct(i.alias("no"), name.alias("name"), compact(name).alias("c"))))
+    rows = bound(F.filter(named, lambda r: (F.length(r["c"]) >= 2) & ~excluded(r["name"])), before_stop)
+    return docs.select(key, F.explode(F.array(bound(rows, chosen))).alias("found")).select(key, F.col("found.v").alias("vendor"), F.col("found.by").alias("by"))

@@ -23,3 +23,10 @@ def test_vendors(spark):
     got = {r.doc: (r.vendor, r.by) for r in vendors.vendors(df, "doc", corrections=[("아크메", "old"), ("아크메", "ACME")]).collect()}
     assert got == {k: v for k, (_, v) in DOCS.items()}
     assert vendors.vendors(df.limit(0), "doc").count() == 0
+
+
+def test_vendors_in_one_row(spark):
+    """Lines are judged in their document's row: no windows and no joins."""
+    df = spark.createDataFrame([(k, t) for k, (t, _) in DOCS.items()], "doc string, text string")
+    plan = vendors.vendors(df, "doc")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "Aggregate" not in plan
